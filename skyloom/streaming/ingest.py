@@ -1,0 +1,39 @@
+"""Load new feed documents as they arrive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from skyloom.plans.etl import load_feed
+from skyloom.schemas import FEED
+from skyloom.sources.feeds import document_columns, read_airport_feed
+
+
+def start_ingest(
+    spark: SparkSession, feed_root: str, table_root: str, checkpoint: str, **trigger: object
+) -> StreamingQuery:
+    """Sync every new file of the flight archive once, with the airport documents of that moment.
+
+    By default the query loads what is there and stops; pass for example ``processingTime="5 minutes"``
+    to keep it running. ``checkpoint`` must be on shared storage: it records which files are done. A
+    batch that fails half-way is loaded again, which repeats its flight and delay rows.
+    """
+    schema = T.StructType([
+        T.StructField("ingest_seq", T.LongType()),
+        T.StructField("doc_id", T.StringType()),
+        *FEED.fields,
+        T.StructField("airport_iata", T.StringType()),
+    ])
+    feed = document_columns(spark.readStream.schema(schema).json(f"{feed_root}/flights"))
+
+    def load(batch: DataFrame, _: int) -> None:
+        load_feed(batch, read_airport_feed(batch.sparkSession, f"{feed_root}/airports"), table_root)
+
+    return (
+        feed.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
