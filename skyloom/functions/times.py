@@ -9,29 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PATTERN = "yyyy-MM-dd[ HH:mm[:ss][.SSSSSS]][XXX][XX]"
-
 
 def utc_timestamp(text: Column) -> Column:
     """Parse ISO-like text to naive UTC; text that is no time, or NULL, gives NULL.
 
-    A blank or a ``T`` may part date and time, seconds or the whole time may be missing, the zone is
-    ``Z`` or an offset, and text without one is taken as UTC.
+    The form is ``yyyy-MM-dd``, then a blank or ``T`` and ``HH:mm[:ss[.ffffff]]``, then ``Z`` or an
+    offset; text without a zone is taken as UTC. Seconds and zone are put in where they are missing
+    and the rest is left to the built-in cast, which is faster than parsing by pattern and compiles to
+    little code.
     """
-    spaced = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
-    zoned = F.when(spaced.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), spaced).otherwise(F.concat(spaced, F.lit("Z")))
-    micros = F.unix_micros(F.try_to_timestamp(zoned, F.lit(_PATTERN)))
-    since_epoch = F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / 1000000).cast("decimal(18,6)"))
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since_epoch
+    seconds = F.when(F.substring(text, 17, 1) == ":", F.lit("")).otherwise(F.lit(":00"))
+    zone = F.when(F.right(text, F.lit(6)).rlike("[Z+-]"), F.lit("")).otherwise(F.lit("Z"))
+    full = F.concat(F.substring(text, 1, 16), seconds, F.substring(text, 17, 100), zone)
+    microsecond = F.expr("INTERVAL '0.000001' SECOND")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + microsecond * F.unix_micros(full.try_cast("timestamp"))
 
 
 def micros_between(start: Column, end: Column) -> Column:
     """Whole microseconds from ``start`` to ``end``; negative when ``end`` is earlier."""
-    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
-    return (seconds * 1000000).cast("bigint")
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
+    return F.round(seconds * 1000000).cast("bigint")
 
 
 def whole_seconds(moment: Column) -> Column:
     """``moment`` with its fraction of a second cut off."""
-    seconds = F.extract(F.lit("SECOND"), moment)
-    return moment - F.make_dt_interval(secs=seconds - F.floor(seconds))
+    start = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    elapsed = (moment - start).cast("interval second").cast("bigint")
+    return start + F.expr("INTERVAL '1' SECOND") * elapsed

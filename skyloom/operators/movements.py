@@ -17,7 +17,7 @@ from skyloom.operators.dedupe import first_per_key
 from skyloom.schemas import AIRCRAFT, FEED_PATHS, FLIGHTS, ORDER_COLUMNS, SYNC_KEYS, TIME_COLUMNS
 
 _SIDES = {"Arrival": "arrival", "Departure": "departure"}
-_DEFAULTED = {"iata": "airport_iata", "icao": "icao", "name": "name", "countryCode": "country_code"}
+_ENDS = {"Arrival": "destination", "Departure": "origin"}
 
 
 def explode_feed(feed: DataFrame) -> DataFrame:
@@ -53,30 +53,24 @@ def normalise_movement(df: DataFrame) -> DataFrame:
 
 
 def fill_airport_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Fill the queried airport's missing fields on its own side of each row.
+    """Fill the queried airport's missing fields on its own side of each flat flight row.
 
     ``defaults`` has one row per known airport (``iata``, ``icao``, ``name``, ``country_code``). No
     broadcast is forced: Spark sends it out while it is small and shuffles both sides, with skew
     splitting, when it is not.
     """
+    fields = ["iata", "icao", "name", "country_code"]
     known = defaults.select(
-        F.col("iata").alias("airport_iata"), F.struct("icao", "name", "country_code").alias("default")
+        F.col("iata").alias("airport_iata"), *[F.col(field).alias(f"default_{field}") for field in fields]
     )
-    df = df.join(known, "airport_iata", "left")
-    for movement_type, side in _SIDES.items():
-        applies = (F.col("movement_type") == movement_type) & F.col("default").isNotNull()
-        filled = []
-        for field, source in _DEFAULTED.items():
-            value = F.col(f"{side}.airport.{field}")
-            fallback = F.col(source) if source == "airport_iata" else F.col(f"default.{source}")
-            filled.append(F.when(applies, F.coalesce(value, fallback)).otherwise(value).alias(field))
-        leg = F.struct(
-            F.struct(*filled).alias("airport"),
-            F.col(f"{side}.scheduledTime").alias("scheduledTime"),
-            F.col(f"{side}.revisedTime").alias("revisedTime"),
+    filled = {
+        f"{end}_{field}": F.coalesce(
+            f"{end}_{field}", F.when(F.col("movement_type") == movement_type, F.col(f"default_{field}"))
         )
-        df = df.withColumn(side, leg)
-    return df.drop("default")
+        for movement_type, end in _ENDS.items()
+        for field in fields
+    }
+    return df.join(known, "airport_iata", "left").withColumns(filled).select(*df.columns)
 
 
 def ensure_columns(df: DataFrame, columns: Mapping[str, str | T.DataType] | Iterable[str]) -> DataFrame:
@@ -117,9 +111,13 @@ def derive_manufacturer(df: DataFrame) -> DataFrame:
 
 
 def clean_movements(feed: DataFrame, defaults: DataFrame) -> DataFrame:
-    """All of the above in order: feed documents to flat, typed flight rows."""
-    rows = fill_airport_defaults(normalise_movement(explode_feed(feed)), defaults)
-    return derive_manufacturer(parse_utc(project_flights(rows)))
+    """All of the above in order: feed documents to flat, typed flight rows.
+
+    Times are parsed below the join and the rest is done above it. Joined into one projection the
+    generated method would grow past what the JVM compiles and run several times slower.
+    """
+    rows = parse_utc(project_flights(normalise_movement(explode_feed(feed))))
+    return derive_manufacturer(fill_airport_defaults(rows, defaults))
 
 
 def build_flights(df: DataFrame) -> DataFrame:

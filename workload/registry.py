@@ -137,13 +137,9 @@ def normalise_movement(spark, sf):
 
 @query("t03_fill_airport_defaults")
 def fill_airport_defaults(spark, sf):
-    filled = M.fill_airport_defaults(_normalised(spark, sf), A.airport_defaults(spark))
-    sides = {"origin": "departure", "destination": "arrival"}
-    fields = {"icao": "icao", "iata": "iata", "name": "name", "country_code": "countryCode"}
-    return filled.select(*_IDS, *[
-        F.col(f"{side}.airport.{path}").alias(f"{end}_{name}")
-        for end, side in sides.items() for name, path in fields.items()
-    ])
+    filled = M.fill_airport_defaults(M.project_flights(_normalised(spark, sf)), A.airport_defaults(spark))
+    fields = ["icao", "iata", "name", "country_code"]
+    return filled.select(*_IDS, *[f"{end}_{field}" for end in ["origin", "destination"] for field in fields])
 
 
 @query("t04_extend_airport_defaults")

@@ -12,10 +12,10 @@ statuses, codeshares, early flights and mixed time formats are spread by rules o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.schemas import AIRCRAFT, AIRPORT, FEED, FLIGHTS
+from skyloom.schemas import AIRCRAFT, AIRPORT, FLIGHTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,8 +94,6 @@ FEED_IATA = (
     "'CDG', 'JNB', 'SIN'), int({0} + 1)) ELSE 'C' || lpad({0}, 6, '0') END"
 )
 
-_AIRPORT_OF = "named_struct('icao', 'K' || {0}, 'iata', 'N' || lpad({0}, 2, '0'), 'name', {1}, 'countryCode', {2})"
-
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "orders").selectExpr(
@@ -104,51 +102,74 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey % 40 AS a",
         "(o_custkey % 40 + 1 + o_orderkey % 5) % 28 AS b",
         "bigint(datediff(o_orderdate, date'1995-01-01') div 90) AS ingest_seq",
+        "o_orderkey % 3 AS k3",
+        "o_orderkey % 4 = 0 AS short",
+        "o_orderkey % 5 AS sched_form",
+        "(o_orderkey div 5) % 6 AS actual_form",
+        "o_orderkey % 9 AS k9",
     ).withColumn("sched", F.expr(
         "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(ingest_seq * 90), 0, int(k % 2880))"
     ))
-    leg = _AIRPORT_OF.format("b", "CASE WHEN b <> 27 THEN 'City ' || b END", "string(b % 5)")
-    bare = _AIRPORT_OF.format(
-        "a", "CASE WHEN k % 3 = 0 THEN 'Given ' || a END", "CASE WHEN k % 3 = 1 THEN string(a % 5) END"
-    ).replace("'K' || a", "CASE WHEN k % 3 = 2 THEN 'K' || a END").replace(
-        "'N' || lpad(a, 2, '0')", "string(NULL)"
-    )
-    sched_text = """CASE k % 5 WHEN 0 THEN substr(string(sched), 1, 16) || 'Z'
-        WHEN 1 THEN replace(string(sched), ' ', 'T') || 'Z'
-        WHEN 2 THEN string(sched + make_dt_interval(0, 5, 30)) || '+05:30'
-        WHEN 3 THEN string(sched) || 'Z'
-        ELSE substr(string(sched - make_dt_interval(0, 3)), 1, 16) || '-03:00' END"""
-    actual = "sched + make_dt_interval(0, 0, int((k * 7 + i * 13) % 90 - 30), k % 60)"
-    actual_text = f"""CASE (k div 5) % 6 WHEN 0 THEN string({actual}) || 'Z'
-        WHEN 1 THEN replace(string({actual}), ' ', 'T') || 'Z'
-        WHEN 2 THEN string({actual} + make_dt_interval(0, 5, 30)) || '+05:30'
-        WHEN 3 THEN 'n/a'
-        WHEN 4 THEN string({actual}) || 'Z' END"""
-    times = f"""'scheduledTime', named_struct('utc', {sched_text}), 'revisedTime', named_struct('utc', {actual_text})"""
-    own, other = f"named_struct('airport', {bare}, {times})", f"named_struct('airport', {leg}, {times})"
-    flight = """named_struct(
-        'number', CASE WHEN k % 41 <> 0 THEN 'FL' || k % 500 || '-' || i END,
-        'status', CASE k % 7 WHEN 0 THEN 'Canceled' WHEN 1 THEN 'CanceledUncertain' WHEN 2 THEN 'Delayed'
-            WHEN 3 THEN NULL ELSE 'Arrived' END,
-        'departure', CASE WHEN k % 4 <> 0 THEN {departure} END,
-        'arrival', CASE WHEN k % 4 <> 0 THEN {arrival} END,
-        'movement', CASE WHEN k % 4 = 0 THEN {movement} END,
-        'aircraft', named_struct('reg', CASE WHEN k % 13 <> 0 THEN 'R' || (c * 3 + i) END,
-            'model', CASE k % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  Maker' || k % 4 || '   M' || k % 50
-                ELSE 'Maker' || k % 4 || ' M' || k % 50 END),
-        'airline', named_struct('name', 'Airline ' || c % 30, 'iata', 'A' || c % 20, 'icao', 'AL' || c % 20))"""
-    arrival = flight.format(departure=other, arrival=own, movement=other)
-    departure = flight.format(departure=own, arrival=other, movement=other)
-
-    def listed(count: str, entry: str) -> str:
-        return f"transform(CASE WHEN {count} > 0 THEN sequence(1, int({count})) ELSE array() END, i -> {entry})"
-
-    return keyed.select(
+    # Text forms by rule: with and without seconds, a blank or a T, Z or an offset, no time, nothing.
+    told = keyed.withColumns({
+        f"actual_{i}": F.expr(
+            f"sched + make_dt_interval(0, 0, int((k * 7 + {i} * 13) % 90 - 30), k % 60) "
+            "+ make_dt_interval(0, 0, IF(actual_form = 2, 330, 0))")
+        for i in [1, 2]
+    }).withColumns({
+        "local_sched": F.expr("string(sched + make_dt_interval(0, 0, IF(sched_form = 2, 330, IF(sched_form = 4, -180, 0))))"),
+    }).withColumns({
+        "sched_text": F.expr("""replace(substr(local_sched, 1, IF(sched_form IN (0, 4), 16, 19)), ' ', IF(sched_form = 1, 'T', ' '))
+            || CASE sched_form WHEN 2 THEN '+05:30' WHEN 4 THEN '-03:00' ELSE 'Z' END""")
+    } | {
+        f"actual_text_{i}": F.expr(f"""CASE WHEN actual_form = 3 THEN 'n/a'
+            WHEN actual_form <> 5 THEN replace(string(actual_{i}), ' ', IF(actual_form = 1, 'T', ' '))
+                || IF(actual_form = 2, '+05:30', 'Z') END""")
+        for i in [1, 2]
+    }).withColumns({
+        "other": F.expr("""named_struct('icao', 'K' || b, 'iata', 'N' || lpad(b, 2, '0'),
+            'name', CASE WHEN b <> 27 THEN 'City ' || b END, 'countryCode', string(b % 5))"""),
+        "own": F.expr("""named_struct('icao', CASE WHEN k3 = 2 THEN 'K' || a END, 'iata', string(NULL),
+            'name', CASE WHEN k3 = 0 THEN 'Given ' || a END,
+            'countryCode', CASE WHEN k3 = 1 THEN string(a % 5) END)"""),
+        "status": F.expr("""element_at(array('Canceled', 'CanceledUncertain', 'Delayed', NULL, 'Arrived', 'Arrived',
+            'Arrived'), int(k % 7 + 1))"""),
+        "model": F.expr("""CASE WHEN k9 = 1 THEN '' WHEN k9 <> 0 THEN IF(k9 = 2, '  Maker', 'Maker') || k % 4
+            || IF(k9 = 2, '   M', ' M') || k % 50 END"""),
+        "airline": F.expr("named_struct('name', 'Airline ' || c % 30, 'iata', 'A' || c % 20, 'icao', 'AL' || c % 20)"),
+    })
+
+    # Legs and their two listings are columns of their own, which keeps each generated method small.
+    legs = told.withColumns({
+        f"{side}_{i}": F.expr(f"named_struct('airport', {side}, 'scheduledTime', named_struct('utc', sched_text), "
+                              f"'revisedTime', named_struct('utc', actual_text_{i}))")
+        for side in ["own", "other"] for i in [1, 2]
+    }).withColumns({
+        f"movement_{i}": F.expr(f"IF(short, other_{i}, NULL)") for i in [1, 2]
+    } | {
+        f"{side}_{i}": F.expr(f"IF(short, NULL, {side}_{i})") for side in ["own", "other"] for i in [1, 2]
+    } | {
+        f"number_{i}": F.expr(f"CASE WHEN k % 41 <> 0 THEN 'FL' || k % 500 || '-{i}' END") for i in [1, 2]
+    } | {
+        f"aircraft_{i}": F.expr(
+            f"named_struct('reg', CASE WHEN k % 13 <> 0 THEN 'R' || (c * 3 + {i}) END, 'model', model)")
+        for i in [1, 2]
+    })
+
+    def listed(count: str, departure: str, arrival: str) -> Column:
+        flights = ", ".join(
+            f"named_struct('number', number_{i}, 'status', status, 'departure', {departure}_{i}, "
+            f"'arrival', {arrival}_{i}, 'movement', movement_{i}, 'aircraft', aircraft_{i}, 'airline', airline)"
+            for i in [1, 2]
+        )
+        return F.expr(f"slice(array({flights}), 1, int({count}))")
+
+    return legs.select(
         F.expr(FEED_IATA.format("a")).alias("airport_iata"),
         "ingest_seq",
         F.expr("lpad(k, 12, '0')").alias("doc_id"),
-        F.expr(listed("k % 3", arrival)).cast(FEED["arrivals"].dataType).alias("arrivals"),
-        F.expr(listed("(k div 3) % 3", departure)).cast(FEED["departures"].dataType).alias("departures"),
+        listed("k3", departure="other", arrival="own").alias("arrivals"),
+        listed("(k div 3) % 3", departure="own", arrival="other").alias("departures"),
     )
 
 
