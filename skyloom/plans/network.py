@@ -83,9 +83,10 @@ def _partners(flights: DataFrame, airport: DataFrame, iata: str, own: str, other
 
 def airport_segments(partners: DataFrame, position: DataFrame) -> DataFrame:
     """Segments from one airport's position to each of its partners, shaped like ``route_segments``."""
-    return partners.select(
-        position.select("latitude").scalar().alias("origin_lat"),
-        position.select("longitude").scalar().alias("origin_lon"),
+    anchor = position.select(F.struct("latitude", "longitude")).scalar()
+    return partners.withColumn("anchor", anchor).select(
+        F.col("anchor.latitude").alias("origin_lat"),
+        F.col("anchor.longitude").alias("origin_lon"),
         F.col("latitude").alias("dest_lat"),
         F.col("longitude").alias("dest_lon"),
     )
