@@ -19,7 +19,8 @@ def build_session(
     Adaptive execution is what keeps the plans safe at size: it splits skewed join partitions, merges
     small shuffle partitions and turns a shuffled join into a broadcast one only after measuring the
     side. ``shuffle_partitions`` is the starting number; give a few times the number of cores, or
-    total shuffle bytes / 200 MB when that is larger, and let adaptive execution merge them.
+    total shuffle bytes / 200 MB when that is larger, and let adaptive execution merge them. A stage whose
+    generated method passes the size the JVM compiles is run operator by operator instead.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -28,6 +29,7 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
     }
     if shuffle_partitions:

@@ -95,6 +95,19 @@ FEED_IATA = (
 )
 
 
+def _city(b: int) -> str:
+    """The airport at the other end of a flight, as a constant."""
+    name = f"'City {b}'" if b != 27 else "NULL"
+    return f"named_struct('icao', 'K{b}', 'iata', 'N{b:02d}', 'name', {name}, 'countryCode', '{b % 5}')"
+
+
+def _partial(a: int, k3: int) -> str:
+    """What a document says of its own airport, as a constant: only a name, only a country or only an ICAO code."""
+    given = [f"'Given {a}'", f"'{a % 5}'", f"'K{a}'"]
+    name, country, icao = [text if i == k3 else "string(NULL)" for i, text in enumerate(given)]
+    return f"named_struct('icao', {icao}, 'iata', string(NULL), 'name', {name}, 'countryCode', {country})"
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k",
@@ -105,33 +118,35 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 3 AS k3",
         "o_orderkey % 4 = 0 AS short",
         "o_orderkey % 5 AS sched_form",
-        "(o_orderkey div 5) % 6 AS actual_form",
+        "o_orderkey div 5 % 6 AS actual_form",
         "o_orderkey % 9 AS k9",
+    ).selectExpr(
+        "*",
+        "IF(actual_form = 1, 'T', ' ') AS actual_gap",
+        "IF(actual_form = 2, '+05:30', 'Z') AS actual_zone",
+        "IF(actual_form = 2, 330, 0) AS actual_ahead",
+        "IF(sched_form = 2, 330, IF(sched_form = 4, -180, 0)) AS sched_ahead",
     ).withColumn("sched", F.expr(
         "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(ingest_seq * 90), 0, int(k % 2880))"
     ))
     # Text forms by rule: with and without seconds, a blank or a T, Z or an offset, no time, nothing.
     told = keyed.withColumns({
         f"actual_{i}": F.expr(
-            f"sched + make_dt_interval(0, 0, int((k * 7 + {i} * 13) % 90 - 30), k % 60) "
-            "+ make_dt_interval(0, 0, IF(actual_form = 2, 330, 0))")
+            f"sched + make_dt_interval(0, 0, int((k * 7 + {i} * 13) % 90 - 30) + actual_ahead, k % 60)")
         for i in [1, 2]
     }).withColumns({
-        "local_sched": F.expr("string(sched + make_dt_interval(0, 0, IF(sched_form = 2, 330, IF(sched_form = 4, -180, 0))))"),
+        "local_sched": F.expr("string(sched + make_dt_interval(0, 0, sched_ahead))"),
     }).withColumns({
         "sched_text": F.expr("""replace(substr(local_sched, 1, IF(sched_form IN (0, 4), 16, 19)), ' ', IF(sched_form = 1, 'T', ' '))
             || CASE sched_form WHEN 2 THEN '+05:30' WHEN 4 THEN '-03:00' ELSE 'Z' END""")
     } | {
         f"actual_text_{i}": F.expr(f"""CASE WHEN actual_form = 3 THEN 'n/a'
-            WHEN actual_form <> 5 THEN replace(string(actual_{i}), ' ', IF(actual_form = 1, 'T', ' '))
-                || IF(actual_form = 2, '+05:30', 'Z') END""")
+            WHEN actual_form <> 5 THEN replace(string(actual_{i}), ' ', actual_gap) || actual_zone END""")
         for i in [1, 2]
     }).withColumns({
-        "other": F.expr("""named_struct('icao', 'K' || b, 'iata', 'N' || lpad(b, 2, '0'),
-            'name', CASE WHEN b <> 27 THEN 'City ' || b END, 'countryCode', string(b % 5))"""),
-        "own": F.expr("""named_struct('icao', CASE WHEN k3 = 2 THEN 'K' || a END, 'iata', string(NULL),
-            'name', CASE WHEN k3 = 0 THEN 'Given ' || a END,
-            'countryCode', CASE WHEN k3 = 1 THEN string(a % 5) END)"""),
+        "other": F.expr(f"element_at(array({', '.join(map(_city, range(28)))}), int(b + 1))"),
+        "own": F.expr(
+            f"element_at(array({', '.join(_partial(a, k3) for k3 in range(3) for a in range(40))}), int(k3 * 40 + a + 1))"),
         "status": F.expr("""element_at(array('Canceled', 'CanceledUncertain', 'Delayed', NULL, 'Arrived', 'Arrived',
             'Arrived'), int(k % 7 + 1))"""),
         "model": F.expr("""CASE WHEN k9 = 1 THEN '' WHEN k9 <> 0 THEN IF(k9 = 2, '  Maker', 'Maker') || k % 4
@@ -165,7 +180,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.expr(f"slice(array({flights}), 1, int({count}))")
 
     return legs.select(
-        F.expr(FEED_IATA.format("a")).alias("airport_iata"),
+        F.expr(f"element_at(array({', '.join(FEED_IATA.format(a) for a in range(40))}), int(a + 1))").alias("airport_iata"),
         "ingest_seq",
         F.expr("lpad(k, 12, '0')").alias("doc_id"),
         listed("k3", departure="other", arrival="own").alias("arrivals"),
