@@ -54,6 +54,10 @@ airport AS (
         CAST(n_nationkey * 5 - 60 AS DOUBLE) AS latitude, CAST(n_nationkey * 13 - 150 AS DOUBLE) AS longitude,
         'UTC' AS timezone
     FROM nation, region WHERE n_regionkey = r_regionkey
+    UNION ALL
+    SELECT printf('K%09d', c_custkey), concat('X', c_custkey), c_name, c_mktsegment, concat('NATION_', c_nationkey),
+        'None', CAST(c_nationkey * 2 - 20 AS DOUBLE), CAST(c_nationkey * 7 - 80 AS DOUBLE), 'UTC'
+    FROM customer
 )"""
 
 _BASE = f"WITH {_FLIGHTS}, {_AIRCRAFT}, {_AIRPORT}"

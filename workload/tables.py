@@ -1,7 +1,8 @@
 """Flight data derived from the driver's tables, as plain projections.
 
 * ``flights`` is ``lineitem``: an order is one physical flight, its lines are the codeshare listings.
-* ``aircraft`` is ``part``; ``airport`` is ``nation`` with ``region``.
+* ``aircraft`` is ``part``; ``airport`` is ``nation`` with ``region``, and every ``customer`` as an airport
+  that no flight serves.
 * Airport documents are ``customer``; flight documents are ``orders``, each with up to two arrivals and
   two departures, at the first 40 of those airports. A sync is the two days at the start of a quarter.
 
@@ -75,7 +76,7 @@ def aircraft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def airport(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
+    served = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
         "'I' || lpad(n_nationkey, 3, '0') AS icao_code",
         "'N' || lpad(n_nationkey, 2, '0') AS iata_code",
         "n_name AS name",
@@ -85,7 +86,19 @@ def airport(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(n_nationkey * 5 - 60 AS DECIMAL(10, 8)) AS latitude",
         "CAST(n_nationkey * 13 - 150 AS DECIMAL(11, 8)) AS longitude",
         "'UTC' AS timezone",
-    ).select(*AIRPORT.names)
+    )
+    unserved = table(spark, sf_dir, "customer").selectExpr(
+        "'K' || lpad(c_custkey, 9, '0') AS icao_code",
+        "'X' || c_custkey AS iata_code",
+        "c_name AS name",
+        "c_mktsegment AS city",
+        "'NATION_' || c_nationkey AS country",
+        "'None' AS continent",
+        "CAST(c_nationkey * 2 - 20 AS DECIMAL(10, 8)) AS latitude",
+        "CAST(c_nationkey * 7 - 80 AS DECIMAL(11, 8)) AS longitude",
+        "'UTC' AS timezone",
+    )
+    return served.unionByName(unserved).select(*AIRPORT.names)
 
 
 # Airports 0 to 12 of the feed carry real codes, so that the built-in defaults apply to them.
