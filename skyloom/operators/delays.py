@@ -38,7 +38,7 @@ def compute_delays(df: DataFrame) -> DataFrame:
 def dedupe_codeshares(delays: DataFrame) -> DataFrame:
     """One row per sync, route and scheduled time: the one with the largest delay."""
     order = [F.col("delay_us").desc(), F.col("flight_number").asc_nulls_first(), F.col("status").asc_nulls_first()]
-    return first_per_key(delays, [*SYNC_KEYS, "origin_name", "destination_name", "sched_time"], order)
+    return first_per_key(delays, ["sched_time", *SYNC_KEYS, "origin_name", "destination_name"], order)
 
 
 def delay_summary(flights: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def airline_performance(flights: DataFrame, aircraft: DataFrame, iata: str | Non
         at_airport(flights, iata, "destination").filter(
             (F.col("movement_type") == ARRIVAL) & F.col("status").isin(ARRIVED, CANCELED, DELAYED)
         ),
-        ["origin_iata", "destination_iata", "scheduled_arrival_utc"],
+        ["scheduled_arrival_utc", "origin_iata", "destination_iata"],
         [
             F.desc_nulls_last("actual_arrival_utc"),
             *[F.asc_nulls_first(c) for c in ["flight_number", "airline_code_iata", "status"]],

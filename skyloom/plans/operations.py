@@ -46,7 +46,7 @@ def unique_departures(flights: DataFrame, iata: str | None = None) -> DataFrame:
     ties = ["origin_name", "destination_name", "origin_country_code", "destination_country_code"]
     return first_per_key(
         departures,
-        ["origin_iata", "destination_iata", "scheduled_departure_utc"],
+        ["scheduled_departure_utc", "origin_iata", "destination_iata"],
         [F.asc_nulls_first("flight_number"), *[F.asc_nulls_first(c) for c in ties]],
     )
 
@@ -86,7 +86,7 @@ def recent_arrivals(flights: DataFrame, iata: str | None = None, k: int = 5) ->
     cutoff = latest.scalar()
     unique = first_per_key(
         arrivals.filter(cutoff.isNull() | (arrival_time >= cutoff)),
-        ["origin_iata", "destination_iata", "actual_arrival_utc"],
+        ["actual_arrival_utc", "origin_iata", "destination_iata"],
         [F.asc_nulls_first("flight_number"), F.asc_nulls_first("origin_name"), F.asc_nulls_first("destination_name")],
     )
     return (
@@ -108,7 +108,7 @@ def cancelled_flights(flights: DataFrame, airport: DataFrame, iata: str | None =
     """Cancelled flights between stored airports, newest first."""
     unique = first_per_key(
         at_airport(flights, iata, "origin").filter(F.col("status") == CANCELED),
-        ["origin_iata", "destination_iata", "scheduled_departure_utc"],
+        ["scheduled_departure_utc", "origin_iata", "destination_iata"],
         [F.asc_nulls_first("flight_number"), F.asc_nulls_first("aircraft_registration")],
     )
     named = {
