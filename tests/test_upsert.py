@@ -1,6 +1,6 @@
 """The airport upsert against a row-by-row model."""
 
-from hypothesis import HealthCheck, assume, given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from skyloom.operators.airports import upsert_airports
@@ -36,7 +36,8 @@ def loaded(spark, existing, incoming):
 
 def check(spark, existing, incoming):
     expected = modelled(existing, incoming)
-    assume(expected is not None)
+    if expected is None:
+        return
     assert sorted(loaded(spark, existing, incoming), key=str) == sorted(expected, key=str)
 
 
