@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import exact_dedup, packing
+from skyloom.llm import bpe, exact_dedup, packing
 
 QUERIES: dict = {}
 
@@ -38,3 +38,8 @@ def best_fit_packing(spark, sf):
 @query("op6_exact_dedup")
 def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_bpe_round_trip")
+def bpe_round_trip(spark, sf):
+    return bpe.round_trip_digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
