@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, exact_dedup, packing
+from skyloom.llm import bpe, exact_dedup, packing, toxicity
 
 QUERIES: dict = {}
 
@@ -35,6 +35,11 @@ def best_fit_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query("op2_toxicity")
+def toxic_scores(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op6_exact_dedup")
 def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
