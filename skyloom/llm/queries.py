@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, exact_dedup, packing, toxicity
+from skyloom.llm import bpe, exact_dedup, jaccard_join, packing, toxicity
 
 QUERIES: dict = {}
 
@@ -45,6 +45,11 @@ def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
 
+@query("op8_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark, sf):
     return bpe.round_trip_digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
