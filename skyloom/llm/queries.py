@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, exact_dedup, jaccard_join, packing, toxicity
+from skyloom.llm import bpe, exact_dedup, jaccard_join, packing, pii, toxicity
 
 QUERIES: dict = {}
 
@@ -40,6 +40,11 @@ def toxic_scores(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op3_pii")
+def personal_data(spark, sf):
+    return pii.personal_data(table(spark, sf, "documents")).drop("found")
+
+
 @query("op6_exact_dedup")
 def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
