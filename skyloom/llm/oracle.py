@@ -9,3 +9,51 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+def _identifier(parts: str) -> str:
+    digest = f"sha256(concat_ws('|', {parts}))"
+    pieces = ", ".join(f"substr({digest}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {pieces}) || '>'"
+
+
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, {pattern}, {by}, 'g')"
+    return text
+
+
+def _decoded(text: str) -> str:
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{character}')"
+    return text
+
+
+_STRIPPED = _replaced(
+    "payload", ("'(?s)<!--.*?-->'", "''"), ("'(?is)<script\\b.*?</script\\s*>'", "''"),
+    ("'(?is)<style\\b.*?</style\\s*>'", "''"), ("'(?is)<head\\b.*?</head\\s*>'", "''"), ("'[\\r\\n\\t ]+'", "' '"),
+    ("'(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\\b[^>]*>'", "chr(10)"),
+    ("'<[^>]*>'", "''"))
+_TEXT = _replaced(_decoded(_STRIPPED), ("'[ ]*\\n[ \\n]*'", "chr(10)"), ("'^[ \\n]+|[ \\n]+$'", "''"))
+_TITLE = f"trim({_replaced(_decoded("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)"), ("'[\\r\\n\\t ]+'", "' '"))})"
+
+SQL["op10_warc_derivatives"] = f"""
+WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, chr(13) || chr(10) AS eol FROM pages),
+r AS (SELECT *, 'HTTP/1.1 200 OK' || eol || 'Content-Type: text/html; charset=utf-8' || eol || 'Content-Length: '
+             || strlen(payload) || eol || eol || payload AS block, {_identifier(
+    "'response', coalesce(page_id::VARCHAR, ''), coalesce(target_uri, ''), sha256(payload)")} AS record_id FROM p),
+m AS (SELECT page_id, 'metadata' AS record_type, record_id AS refers_to, target_uri, 'application/warc-fields' AS content_type,
+             'source-content-type: application/http; msgtype=response' || eol || 'source-content-length: ' || strlen(block)
+             || eol || 'source-block-digest: sha256:' || sha256(block) || eol || 'source-payload-digest: sha256:'
+             || sha256(payload) || eol || 'title: ' || {_TITLE} || eol
+             || 'language: ' || regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1) || eol
+             || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1)) || eol AS block FROM r
+      UNION ALL
+      SELECT page_id, 'conversion', record_id, target_uri, 'text/plain; charset=utf-8', {_TEXT} FROM r)
+SELECT page_id, 'response' AS record_type, record_id, NULL::VARCHAR AS refers_to, target_uri, '1970-01-01T00:00:00Z' AS date,
+       'application/http; msgtype=response' AS content_type, strlen(block)::BIGINT AS content_length,
+       'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(block) AS block_digest FROM r
+UNION ALL
+SELECT page_id, record_type, {_identifier("'derived', record_type, refers_to, sha256(block)")}, refers_to, target_uri,
+       '1970-01-01T00:00:00Z', content_type, strlen(block)::BIGINT, 'sha256:' || sha256(block), 'sha256:' || sha256(block) FROM m
+"""

@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, jaccard_join, packing, pii, toxicity
+from skyloom.llm import bpe, exact_dedup, jaccard_join, nearest, packing, pii, toxicity, warc
 
 QUERIES: dict = {}
 
@@ -50,6 +51,11 @@ def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
 
+@query("op7_rp_forest")
+def nearest_vectors(spark, sf):
+    return nearest.nearest(table(spark, sf, "embeddings"))
+
+
 @query("op8_ngram_jaccard_join")
 def ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
@@ -58,3 +64,10 @@ def ngram_jaccard_join(spark, sf):
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark, sf):
     return bpe.round_trip_digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_warc_derivatives")
+def warc_derivatives(spark, sf):
+    return warc.build(table(spark, sf, "pages")).select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        F.octet_length("block").cast("long").alias("content_length"), "payload_digest", "block_digest")
