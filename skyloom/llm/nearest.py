@@ -22,7 +22,7 @@ from skyloom.llm.common import staged
 from skyloom.llm.jaccard_join import _runs
 
 #: Rows that the trees are fitted on, trees, sampled rows to a leaf, and leaves that a query visits.
-SAMPLE, TREES, LEAF, VISITS = 16_384, 12, 48, 160
+SAMPLE, TREES, LEAF, VISITS = 16_384, 12, 48, 300
 #: Vectors and queries that one unit of work takes of a leaf.
 BLOCK = 4096
 
@@ -43,7 +43,7 @@ def fit_tree(sample: np.ndarray, leaf: int, random: np.random.Generator) -> Tree
         if len(rows) > leaf:
             for _ in range(5):
                 a, b = sample[random.choice(rows, 2, replace=False)]
-                normal = a - b
+                normal = (a - b) / max(float(np.linalg.norm(a - b)), 1e-300)
                 side = sample[rows] @ normal - (a + b) @ normal / 2 > 0
                 if 0.05 < side.mean() < 0.95:
                     at = len(planes)
@@ -91,11 +91,13 @@ def search(forest: list[Tree], query: np.ndarray, visits: int) -> list[tuple[int
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` (doubles) of rows with an id and a finite vector that is not zero.
+    """``id, vector`` of rows with an id and a finite vector that is not zero.
 
     Vectors of another length than most have take no part. Of rows with one id, the smallest vector stands for it.
     """
-    vectors = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<double>").alias("vector")).filter(
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    vectors = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast(
+        "array<float>" if single else "array<double>").alias("vector")).filter(
         F.col("id").isNotNull() & F.forall("vector", lambda x: F.coalesce(F.abs(x) < math.inf, F.lit(False)) & ~F.isnan(x))
         & F.exists("vector", lambda x: x != 0))
     vectors = staged(vectors.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
@@ -104,23 +106,41 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _matrix(lists) -> np.ndarray:
-    values = lists.flatten().to_numpy()
+    values = lists.flatten().to_numpy().astype(np.float64)
     return values.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
 def _top(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """For some queries at a time: row of the query, ids and scores of its ``k`` best among ``vectors``."""
+    """For each query its id (repeated), and ids and scores of its ``k`` best among ``vectors``.
+
+    A matrix product finds who can be among them; its rounding differs from place to place, so their scores are
+    then added up in one order for all, and equal vectors tie exactly.
+    """
+    slack = 1e-12 * (1 + np.abs(queries).sum(axis=1) * np.abs(vectors).max(initial=0.0))
     for start in range(0, len(queries), 64):
-        some = queries[start:start + 64]
-        scores = np.zeros((len(some), len(vectors)))
-        for d in range(vectors.shape[1]):  # one order of adding for all pairs, so equal vectors tie exactly
-            scores += some[:, d, None] * vectors[None, :, d]
+        scores = queries[start:start + 64] @ vectors.T
         scores[own[start:start + 64, None] == ids[None, :]] = -np.inf
-        for i, row in enumerate(scores):
+        for i, row in enumerate(scores, start):
             cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            best = np.flatnonzero((row >= cut) & (row > -np.inf))
-            best = best[np.lexsort((ids[best], -row[best]))][:k]
-            yield start + i, ids[best], row[best]
+            near = np.flatnonzero((row >= cut - slack[i]) & (row > -np.inf))
+            exact = np.zeros(len(near))
+            for d in range(vectors.shape[1]):
+                exact += queries[i, d] * vectors[near, d]
+            best = np.lexsort((ids[near], -exact))[:k]
+            yield np.full(len(best), own[i]), ids[near][best], exact[best]
+
+
+def _merged(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query among ``parts``; a vector met in several trees counts once."""
+    query, ids, scores = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    fresh = np.ones(len(query), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, scores = query[fresh], ids[fresh], scores[fresh]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[rank < k], ids[rank < k], scores[rank < k]
 
 
 def nearest(table: DataFrame, queries=None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -134,7 +154,7 @@ def nearest(table: DataFrame, queries=None, k: int = 20, id_col: str = "vec_id",
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col)
     queries = F.expr("id % 20 = 0") if queries is None else queries
-    fitted = np.array([r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
+    fitted = np.array([np.array(r["vector"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
     random = np.random.default_rng(seed)
     forest = [fit_tree(fitted, leaf, random) for _ in range(trees)] if len(fitted) else []
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
@@ -158,7 +178,7 @@ def nearest(table: DataFrame, queries=None, k: int = 20, id_col: str = "vec_id",
             return tuple(np.array(c, np.int64) for c in zip(*found))
         return place(batches, walk)
 
-    schema = "id long, tree long, leaf long, vector array<double>"
+    schema = f"id long, tree long, leaf long, vector {rows.schema['vector'].dataType.simpleString()}"
     members = staged(rows.mapInArrow(homes, schema), "leaves") if forest else rows.sparkSession.createDataFrame([], schema)
     visitors = staged(rows.filter(queries).mapInArrow(visited, schema), "visits") if forest else members
     leaf_key = ["tree", "leaf"]
@@ -178,15 +198,27 @@ def nearest(table: DataFrame, queries=None, k: int = 20, id_col: str = "vec_id",
         dealt(visitors, "query_block", "member_block", True)).repartition(*unit).sortWithinPartitions(*unit)
 
     def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["query_id", "vec_id", "score"])
+
         for run in _runs(batches, unit):
             asks, ids, vectors = run["asks"].astype(bool), run["id"], _matrix(run["vector"])
             if not asks.any() or asks.all():
                 continue
             found = list(_top(vectors[asks], ids[asks], vectors[~asks], ids[~asks], k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[asks][[f[0] for f in found]], [len(f[1]) for f in found])),
-                 pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))],
-                names=["query_id", "vec_id", "score"])
+            held += found
+            rows += sum(len(f[0]) for f in found)
+            if rows > 400_000:  # a query's leaves in one task are reduced to its best there
+                held = [_merged(held, k)]
+                rows = len(held[0][0])
+                if rows > 200_000:
+                    yield batch()
+                    held, rows = [], 0
+        if held:
+            held = [_merged(held, k)]
+            yield batch()
 
     found = both.mapInArrow(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(
         F.max("score").alias("score"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, jaccard_join, nearest, packing, pii, toxicity, warc
+from skyloom.llm import bpe, exact_dedup, jaccard_join, licenses, nearest, packing, pii, secrets, toxicity, warc
 
 QUERIES: dict = {}
 
@@ -46,6 +46,16 @@ def personal_data(spark, sf):
     return pii.personal_data(table(spark, sf, "documents")).drop("found")
 
 
+@query("op4_secret_novelty")
+def secret_spans(spark, sf):
+    return secrets.find_secrets(table(spark, sf, "documents"))
+
+
+@query("op5_license_scan")
+def license_notices(spark, sf):
+    return licenses.find_licenses(table(spark, sf, "documents"))
+
+
 @query("op6_exact_dedup")
 def exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
