@@ -23,10 +23,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import id_and_text, staged, texts_of
@@ -36,6 +37,8 @@ from skyloom.llm.shingles import Shingled, mix, set_digests, shingle
 #: Shingles listed by more than so many documents come last in the order, at most HEAVY_KEPT of them (the most frequent).
 #: Which ones they are changes the work and not the result.
 HEAVY_LIST, HEAVY_KEPT = 64, 100_000
+#: Bits of the filter that leaves out shingles of one document only. A fuller filter leaves out fewer.
+FILTER_BITS = 1 << 25
 #: Most sets, and most shingles, in one block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 #: No set of more shingles is light, whatever the costs.
@@ -74,10 +77,14 @@ def light_boundary(mean_list: float, percent: int) -> int:
     return boundary
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    made = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    return F.coalesce(doc_id.cast("long"), made)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = id_and_text(docs, id_col, text_col)
-    made = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return source.select(F.coalesce(F.col("id").cast("long"), made).alias("key"), "text")
+    return source.select(_key(F.col("id"), F.col("text")).alias("key"), "text")
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -92,16 +99,32 @@ def _head(shingled: Shingled, lengths: np.ndarray) -> np.ndarray:
     return shingled.values[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
 
 
-def frequent_shingles(keyed: DataFrame, words: int, percent: int) -> tuple[np.ndarray, float]:
-    """The shingles to put last, and the mean number of other documents in the list of an entry that stays.
+def counted(n, percent: int):
+    """How many of a set's smallest shingles are counted: one and a half prefixes."""
+    return np.minimum(n, prefix(n, percent) * 3 // 2)
 
-    Counts cover the first one and a half prefixes of all documents.
-    """
+
+class Frequencies(NamedTuple):
+    """``last``: shingles to put last; ``shared``: bits of those that several documents have; ``mean_list``: how
+    many other documents are in the list of a shingle that is not put last, on average over entries."""
+
+    last: np.ndarray
+    shared: np.ndarray
+    mean_list: float
+
+
+def _bit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = values & np.uint64(FILTER_BITS - 1)
+    return (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+
+
+def frequencies(keyed: DataFrame, words: int, percent: int) -> Frequencies:
+    """Counts over the smallest shingles (see ``counted``) of all documents, reduced to what the lists need."""
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle(texts_of(batch), words)
-            values = _head(sets, prefix(sets.sizes, percent) * 3 // 2)
+            values = _head(sets, counted(sets.sizes, percent))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["token"])
 
     counts = keyed.select("text").mapInArrow(heads, "token long").groupBy("token").count().filter("count > 1")
@@ -110,17 +133,23 @@ def frequent_shingles(keyed: DataFrame, words: int, percent: int) -> tuple[np.nd
     tokens = np.array(sorted(r["token"] for r in heavy.select("token").collect()), np.int64).view(np.uint64)
     rest = counts.filter(F.col("count") <= HEAVY_LIST).agg(
         F.sum(F.col("count") * (F.col("count") - 1)).alias("met"), F.sum("count").alias("entries")).first()
-    return np.sort(tokens), (rest["met"] or 0) / max(rest["entries"] or 0, 1)
+    words_of_bits = counts.groupBy(F.expr(f"(token & {FILTER_BITS - 1}) >> 6").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("bits")).collect()  # at most FILTER_BITS / 64
+    shared = np.zeros(FILTER_BITS // 64, np.int64)
+    shared[[r["word"] for r in words_of_bits]] = [r["bits"] for r in words_of_bits]
+    return Frequencies(np.sort(tokens), shared.view(np.uint64), (rest["met"] or 0) / max(rest["entries"] or 0, 1))
+
 
+def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: Frequencies) -> DataFrame:
+    """``key, n, d1, d2`` (two digests of the set), ``tokens`` to list and ``subsets`` of each document.
 
-def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, last: np.ndarray) -> DataFrame:
-    """``key, n, d1, d2`` (two digests of the set), ``tokens`` to list and ``subsets`` of each document."""
-    spark = keyed.sparkSession
-    shared = spark.sparkContext.broadcast(last)
+    A shingle that was counted and is no other document's is left out: its list would have one entry.
+    """
+    shared = keyed.sparkSession.sparkContext.broadcast(known)
     least_heavy = -(-percent * (boundary + 1) // 100)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, several = shared.value.last, shared.value.shared
         for batch in batches:
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
@@ -132,8 +161,14 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, last: np
                 late = np.zeros(len(sets.values), bool)
             of = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
             order = np.argsort(2 * of + late, kind="stable") if late.any() else slice(None)
-            lengths = np.where(sets.sizes >= max(least_heavy, 1), prefix(sets.sizes, percent), 0)
+            lengths = np.where(sets.sizes >= max(least_heavy, 1), np.minimum(prefix(sets.sizes, percent), sets.sizes), 0)
+            rank = np.arange(len(of)) - begin[of]
+            word, bit = _bit(sets.values)
+            alone = (rank < counted(sets.sizes, percent)[of]) & ((several[word] >> bit) & np.uint64(1) == 0)
             tokens = _head(Shingled(sets.values[order], sets.sizes), lengths)
+            listed = ~_head(Shingled(alone[order], sets.sizes), lengths)
+            lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[listed], minlength=len(lengths))
+            tokens = tokens[listed]
             keys, counts = [], np.zeros(len(sets.sizes), np.int64)
             for i in np.flatnonzero((sets.sizes > 0) & (sets.sizes <= boundary)):
                 own = _subset_hashes(sets.values[begin[i]:begin[i] + sets.sizes[i]], boundary, percent)
@@ -146,7 +181,7 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, last: np
                                            names=["k1", "k2", "even"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sets.sizes), pa.array(d1), pa.array(d2),
-                 _lists(tokens, np.minimum(lengths, sets.sizes)), subsets],
+                 _lists(tokens, lengths), subsets],
                 names=["key", "n", "d1", "d2", "tokens", "subsets"])
 
     return keyed.mapInArrow(run, "key long, n long, d1 long, d2 long, tokens array<long>, "
@@ -167,9 +202,14 @@ def _subset_hashes(values: np.ndarray, boundary: int, percent: int) -> np.ndarra
     return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
-def light_edges(nodes: DataFrame) -> DataFrame:
+DIGESTS = ["n", "d1", "d2"]
+
+
+def light_edges(sketch: DataFrame) -> DataFrame:
     """Stars over the holders of each subset. Where two sizes are asked for, both must be there."""
-    held = nodes.select("node", "n", F.explode("subsets").alias("s")).select("node", "n", "s.*")
+    held = sketch.filter(F.size("subsets") > 0).groupBy(*DIGESTS).agg(
+        F.min("key").alias("node"), F.first("subsets").alias("subsets"))
+    held = held.select("node", "n", F.explode("subsets").alias("s")).select("node", "n", "s.*")
     hubs = held.groupBy("k1", "k2", "even").agg(
         F.min("node").alias("hub"), F.max("node").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
     hubs = hubs.filter("hub < most AND (even OR low < high)").select("k1", "k2", "hub")
@@ -237,14 +277,15 @@ def _work_pairs(count: int, first: np.ndarray) -> np.ndarray:
 def _can_link(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The sets of each unit that can still link with another of it, judged by the shingles listed.
 
-    Linked sets share at least ``k`` listed shingles. Those of this group are counted; what they may
-    share in other groups is at most what either has listed there.
+    Linked sets share at least ``least`` listed shingles. Those of this group are counted; what they may share in other
+    groups is at most what either has listed there. In one group at least they share their part of ``least``, so
+    groups in which they share less can leave the two to another.
     """
-    out = [[], [], [], []]
+    out = [[], [], [], [], []]
 
     def batch() -> pa.RecordBatch:
         done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out],
-                                          names=["pivot", "i", "j", "node"])
+                                          names=["pivot", "i", "j", "node", "block"])
         for c in out:
             c.clear()
         return done
@@ -258,11 +299,12 @@ def _can_link(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         outside = listed - np.bincount(row, minlength=len(nodes))
         share = need(n[:, None], n[None, :], percent)
         least = np.minimum((prefix(n, percent) - n)[:, None], (prefix(n, percent) - n)[None, :]) + share
-        fits = (shared > 0) & (shared + np.minimum(outside[:, None], outside[None, :]) >= least) & (
+        groups = np.minimum(run["groups"][at][:, None], run["groups"][at][None, :])
+        fits = (shared * groups >= least) & (shared + np.minimum(outside[:, None], outside[None, :]) >= least) & (
             share <= np.minimum(n[:, None], n[None, :])) & _work_pairs(len(nodes), first)
         both = fits.any(axis=0) | fits.any(axis=1)
         if both.any():
-            for c, value in zip(out, (run["pivot"][0], run["i"][0], run["j"][0], nodes[both])):
+            for c, value in zip(out, (run["pivot"][0], run["i"][0], run["j"][0], nodes[both], run["block"][at][both])):
                 c.append(np.broadcast_to(np.asarray(value, np.int64), int(both.sum())))
             if len(out[0]) > 5000:
                 yield batch()
@@ -311,64 +353,78 @@ def _units(members: DataFrame, first_round: bool) -> DataFrame:
         "j", F.greatest("block", "with")).drop("with")
 
 
-def heavy_edges(keyed: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def heavy_edges(keyed: DataFrame, sketch: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between heavy sets (a spanning part of them), from inverted lists."""
     by_token = Window.partitionBy("token")
-    entries = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    lists = entries.withColumn("holders", F.count(F.lit(1)).over(by_token)).withColumn(
-        "pivot", F.min_by("node", F.xxhash64("node")).over(by_token)).filter("holders > 1").drop("holders")
-    lists = staged(lists, "lists")
-    listed = lists.groupBy("node").agg(F.count(F.lit(1)).alias("listed"))
-    members = lists.groupBy("pivot", "node").agg(F.max("n").alias("n"))
-    groups = members.groupBy("pivot").agg(F.greatest(
+    nodes = sketch.filter(F.size("tokens") > 0).groupBy(*DIGESTS).agg(
+        F.min("key").alias("node"), F.first("tokens").alias("tokens"))
+    entries = nodes.select("node", F.explode("tokens").alias("token"))
+    lists = staged(entries.withColumn("holders", F.count(F.lit(1)).over(by_token)).withColumn(
+        "pivot", F.min_by("node", F.xxhash64("node")).over(by_token)).filter("holders > 1").drop("holders"), "lists")
+    members = lists.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("listed"))
+    totals = members.groupBy("node").agg(F.sum("listed").alias("listed"), F.count(F.lit(1)).alias("groups"))
+    sizes = sketch.groupBy(*DIGESTS).agg(F.min("key").alias("node"))
+    members = staged(members.select("pivot", "node").join(totals, "node").join(sizes, "node"), "members")
+    blocks = members.groupBy("pivot").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = staged(members.join(groups, "pivot").join(listed, "node").withColumn(
-        "block", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int")), "members")
+    members = members.join(blocks, "pivot").withColumn(
+        "block", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int"))
+    unit = ["pivot", "i", "j"]
 
     def compare(units: DataFrame) -> DataFrame:
-        """Edges of the units in ``units`` (pivot, node, n, listed, block, i, j)."""
-        per_list = units.join(lists.select("pivot", "node", "token"), ["pivot", "node"])
-        able = per_list.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").select(
-            "pivot", "i", "j", "node", "n", "listed", "block", "token").mapInArrow(
-            lambda batches: _can_link(batches, percent), "pivot long, i long, j long, node long")
-        able = staged(able, "able")
-        fetched = whole_sets(keyed, able.select(F.col("node").alias("key")).distinct(), nodes, words)
-        block = units.select("pivot", "node", "block", "i", "j")
-        rows = able.join(block, ["pivot", "i", "j", "node"]).join(fetched, "node")
-        return staged(rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").select(
-            "pivot", "i", "j", "node", "n", "block", "tokens").mapInArrow(
+        """Edges of ``units``: a row for each of their members."""
+        units = units.select(*unit, "node", "block", *DIGESTS, "listed", "groups")
+        able = units.join(lists, ["pivot", "node"]).repartition(*unit).sortWithinPartitions(*unit).select(
+            *unit, "node", "n", "listed", "groups", "block", "token").mapInArrow(
+            lambda batches: _can_link(batches, percent), "pivot long, i long, j long, node long, block long")
+        able = able.groupBy("node").agg(F.collect_list(F.struct(*unit, "block")).alias("units"))
+        wanted = staged(able.join(units.select("node", *DIGESTS).distinct(), "node"), "wanted")
+        sets = whole_sets(keyed, wanted, words).select("node", "n", "tokens", F.explode("units").alias("u")).select(
+            "u.*", "node", "n", "tokens")
+        return staged(sets.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(
             lambda batches: _link(batches, percent), "a long, b long"), "edges")
 
     found = compare(_units(members, True))
     if members.filter("blocks > 2").isEmpty():
         return found
     # Groups of many blocks: the other pairs of blocks, but for those that are connected throughout.
-    known = components(found)
-    placed = members.filter("blocks > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.filter("blocks > 2").join(components(found), "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
     units = _units(placed, False)
-    open_units = units.groupBy("pivot", "i", "j").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("pivot", "i", "j")
-    units = units.join(open_units, ["pivot", "i", "j"]).drop("component")
-    return found.unionByName(compare(staged(units, "units")))
+    unconnected = units.groupBy(*unit).agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(*unit)
+    return found.unionByName(compare(units.join(unconnected, unit)))
 
 
-def whole_sets(keyed: DataFrame, wanted: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, n, tokens``: all shingles of the nodes in ``wanted`` (``key``), made anew from their texts."""
+def whole_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``wanted`` (``node``, digests, ``units``) with ``tokens``: all shingles, made anew from the node's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
+            # One id can have several texts; the node stands for the set with its digests.
+            own = pa.array((batch["n"].to_numpy() == sets.sizes) & (batch["d1"].to_numpy() == d1) & (batch["d2"].to_numpy() == d2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets.sizes), pa.array(d1), pa.array(d2), _lists(sets.values, sets.sizes)],
-                names=["node", "n", "d1", "d2", "tokens"])
+                [batch["node"], batch["n"], batch["units"], _lists(sets.values, sets.sizes)],
+                names=["node", "n", "units", "tokens"]).filter(own)
+
+    # The join deals texts out by key, so leaving out repeated rows needs no further shuffle.
+    texts = keyed.withColumnRenamed("key", "node").join(wanted.select("node"), "node", "left_semi").groupBy(
+        "node", "text").agg(F.count(F.lit(1)).alias("rows"))
+    return texts.join(wanted, "node").select("node", "n", "d1", "d2", "units", "text").mapInArrow(
+        run, "node long, n long, units array<struct<pivot:long,i:long,j:long,block:long>>, tokens array<long>")
+
 
-    made = keyed.join(wanted, "key", "left_semi").mapInArrow(
-        run, "node long, n long, d1 long, d2 long, tokens array<long>")
-    # One id can have several texts, and one text several rows: take the set that the node stands for, once.
-    one = made.groupBy("node", "n", "d1", "d2").agg(F.first("tokens").alias("tokens"))
-    return one.join(nodes.select("node", "n", "d1", "d2"), ["node", "n", "d1", "d2"], "left_semi").select(
-        "node", "n", "tokens")
+def _components(keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """``key, n, component`` of each row; a component is the smallest key in it."""
+    known = frequencies(keyed, words, percent)
+    sketch = staged(sketches(keyed, words, percent, light_boundary(known.mean_list, percent), known), "sketch")
+    edges = light_edges(sketch).unionByName(heavy_edges(keyed, sketch, words, percent))
+    nodes = sketch.filter("n > 0").groupBy(*DIGESTS).agg(F.min("key").alias("node"))
+    placed = nodes.join(components(edges), "node", "left").select(*DIGESTS, F.coalesce("component", "node").alias("component"))
+    return sketch.select("key", *DIGESTS).join(placed, DIGESTS, "left").select(
+        "key", "n", F.coalesce("component", "key").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
@@ -381,19 +437,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link like others and get the smallest id of what they link with, or null. Repeated rows stay, each with the
     same result. Ids are whole numbers. An empty table gives no rows; extra columns are ignored.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    last, mean_list = frequent_shingles(keyed, words, percent)
-    sketch = staged(sketches(keyed, words, percent, light_boundary(mean_list, percent), last), "sketch")
-    digests = ["n", "d1", "d2"]
-    nodes = sketch.filter("n > 0").groupBy(*digests).agg(
-        F.min("key").alias("node"), F.first("tokens").alias("tokens"), F.first("subsets").alias("subsets"))
-    nodes = staged(nodes, "nodes")
-    edges = light_edges(nodes).unionByName(heavy_edges(keyed, nodes, words, percent))
-    known = components(edges)
-    placed = nodes.select(*digests, "node").join(known, "node", "left").select(
-        *digests, F.coalesce("component", "node").alias("component"))
-    rows = sketch.select("key", *digests).join(placed, digests, "left")
-    real = lambda column: F.when(column < NO_ID, column)
-    return rows.select(
-        real(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        real(F.coalesce("component", "key")).alias("component_id"))
+    rows = _components(_keyed(docs, id_col, text_col), words, percent)
+    real = lambda column: F.when(F.col(column) < NO_ID, F.col(column)).alias(column)
+    return rows.select(real("key"), "n", real("component")).toDF("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
+                          percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Rows without an id stay only where no row with one is linked to them. Rows with one id stay or go together.
+    """
+    rows = _components(_keyed(docs, id_col, text_col), words, percent)
+    kept = rows.filter("key = component").select("key").distinct()
+    with_key = docs.select(_key(docs[id_col], F.coalesce(docs[text_col], F.lit(""))).alias("key"),
+                           F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return with_key.join(kept, "key", "left_semi").select("row.*")
