@@ -66,3 +66,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return recipes.join(groups, key).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of equal texts, with all its columns: that with the largest id.
+
+    Of rows that repeat one id and text, one stays. Rows without an id count as the smallest.
+    """
+    # Null ids become texts that no number has, so ids and digests are plain join keys.
+    key = lambda column: F.coalesce(column.cast("string"), F.lit("none"))
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(
+        key(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.select(key(docs[id_col]).alias("id"), F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256).alias("sha"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    one = rows.join(kept, ["id", "sha"], "left_semi").groupBy("id", "sha").agg(F.first("row").alias("row"))
+    return one.select("row.*")

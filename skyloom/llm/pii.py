@@ -205,8 +205,8 @@ def _expression(trees: list, features: Column, step: float = STEP) -> Column:
 
 
 def _with_base(texts: DataFrame) -> DataFrame:
-    """``raw_<kind>``: all base matches of the kind, ``base_<kind>``: the valid ones."""
-    texts = texts.select("id", "text", *[spans_of(F.col("text"), BASE[k]).alias(f"raw_{k}") for k in KINDS])
+    """``raw_<kind>``: all base matches of the kind, ``base_<kind>``: the valid ones; further columns stay."""
+    texts = texts.select("*", *[spans_of(F.col("text"), BASE[k]).alias(f"raw_{k}") for k in KINDS])
     return texts.select("*", *[F.filter(f"raw_{k}", _is_valid(k)).alias(f"base_{k}") for k in KINDS])
 
 
@@ -259,17 +259,22 @@ def find_pii(docs: DataFrame, model: tuple[list, dict[str, float]], id_col: str
     kind's threshold and it overlaps no base span. Null and empty texts have no spans; repeated rows and null ids stay; an
     empty table gives no rows; extra columns are ignored.
     """
+    found = _found(id_and_text(docs, id_col, text_col), model)
+    return found.select(
+        F.col("id").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.col("found")).alias("spans"), "found")
+
+
+def _found(texts: DataFrame, model: tuple[list, dict[str, float]]) -> DataFrame:
+    """``texts`` (with ``text``) and ``n_<kind>``, ``base`` and ``found`` spans."""
     trees, levels = model
-    texts = _with_base(id_and_text(docs, id_col, text_col))
+    kept = texts.columns
     base = F.concat(*[_named(F.col(f"base_{k}"), k) for k in KINDS])
-    texts = texts.select("id", "text", base.alias("base"), *[
-        F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
+    texts = _with_base(texts).select(*kept, base.alias("base"), *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
     kinds = [k for k in KINDS if levels[k] < math.inf]
     everything = F.concat("base", *[_named(F.filter(spans_of(F.col("text"), WIDER[k]), _reaches(k, trees, levels[k])), k)
                                     for k in kinds])
-    return texts.select("id", *[f"n_{k}" for k in KINDS], "base", F.array_sort(everything).alias("found")).select(
-        F.col("id").alias("doc_id"), *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.col("found")).alias("spans"), "found")
+    return texts.select(*kept, *[f"n_{k}" for k in KINDS], "base", F.array_sort(everything).alias("found"))
 
 
 def redact(text: Column, found: Column) -> Column:
@@ -290,3 +295,18 @@ def redact(text: Column, found: Column) -> Column:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the table's own base candidates, then find spans in it; see ``find_pii``."""
     return find_pii(docs, learn(docs, id_col, text_col), id_col, text_col)
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     length_col: str | None = None) -> DataFrame:
+    """``docs`` with personal data in ``text_col`` replaced by its kind, and all other columns.
+
+    ``length_col``, if given and there, gets the new text's number of characters. Null texts stay null.
+    """
+    rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    done = _found(rows, learn(docs, id_col, text_col)).select("row", redact(F.col("text"), F.col("found")).alias("text"))
+    new = {text_col: F.when(F.col("row")[text_col].isNotNull(), F.col("text"))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("row")[text_col].isNotNull(), F.length("text")).cast(docs.schema[length_col].dataType)
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

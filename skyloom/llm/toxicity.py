@@ -223,3 +223,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     sample = labelled_sample(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col, label_col, per_class)
     return score_documents(docs, fit([t for t, _ in sample], [y for _, y in sample]), id_col, text_col, threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               label_col: str = "toxic", per_class: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``, with all their columns. Nothing is shuffled."""
+    sample = labelled_sample(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col, label_col, per_class)
+    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [y for _, y in sample]))
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array([scorer.score(t) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
