@@ -15,8 +15,8 @@ _DOC_KEYS = ["ingest_seq", "doc_id"]
 def build_airport(docs: DataFrame) -> DataFrame:
     """Flatten airport documents (a VARIANT column ``doc``) and list each one's ``missing`` columns.
 
-    A field that is present but null counts as present, as it does when the JSON is flattened; only an
-    absent one is missing. Keep the rows to load with ``accepted_airports``.
+    A field that is present but null counts as present, as it does when the JSON is flattened, and so do the fields of
+    a null ``country`` or ``continent``; only an absent one is missing. Keep the rows to load with ``accepted_airports``.
     """
 
     def stored(name: str, path: str) -> Column:
@@ -24,7 +24,10 @@ def build_airport(docs: DataFrame) -> DataFrame:
         return F.try_variant_get("doc", f"$.{path}", kind).alias(name)
 
     def absent(name: str, path: str) -> Column:
-        return F.when(F.variant_get("doc", f"$.{path}", "variant").isNull(), F.lit(name))
+        there = F.variant_get("doc", f"$.{path}", "variant").isNotNull()
+        if "." in path and path.split(".")[0] == name:  # a null object flattens to a column of its own name
+            there = there | F.coalesce(F.is_variant_null(F.variant_get("doc", f"$.{name}", "variant")), F.lit(False))
+        return F.when(~there, F.lit(name))
 
     missing = F.array_compact(F.array(*[absent(*item) for item in AIRPORT_PATHS.items()]))
     return docs.select(

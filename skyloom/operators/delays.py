@@ -41,6 +41,17 @@ def dedupe_codeshares(delays: DataFrame) -> DataFrame:
     return first_per_key(delays, ["sched_time", *SYNC_KEYS, "origin_name", "destination_name"], order)
 
 
+def daily_delays(cleaned: DataFrame) -> DataFrame:
+    """``compute_delays``, ``dedupe_codeshares`` and ``delay_summary`` in two shuffles.
+
+    Rows without a scheduled time belong to no day and go first. One dealing by sync and scheduled time then serves
+    the dedupe, the counts and the distinct times, and splits a busy airport; the second shuffle carries counts
+    to the day.
+    """
+    delays = compute_delays(cleaned).filter(F.col("sched_time").isNotNull())
+    return delay_summary(dedupe_codeshares(delays.repartition("sched_time", *SYNC_KEYS)))
+
+
 def delay_summary(flights: DataFrame) -> DataFrame:
     """The ``airport_delays`` rows of each sync; rows without a scheduled time belong to no day.
 

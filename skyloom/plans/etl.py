@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from skyloom.operators.airports import (
     airport_defaults,
     build_airport,
     extend_airport_defaults,
+    rejected_airports,
 )
-from skyloom.operators.delays import compute_delays, dedupe_codeshares, delay_summary
+from skyloom.operators.delays import daily_delays
 from skyloom.operators.movements import build_aircraft, build_flights, clean_movements
 from skyloom.schemas import ORDER_COLUMNS
 from skyloom.session import materialise
@@ -27,17 +31,27 @@ from skyloom.sources.tables import (
 )
 
 
-def run_etl(spark: SparkSession, feed_root: str, table_root: str, multi_line: bool = False) -> FlightTables:
-    """Load ``feed_root/airports`` and ``feed_root/flights`` into the tables under ``table_root``."""
-    return load_feed(
-        read_flight_feed(spark, f"{feed_root}/flights", multi_line),
-        read_airport_feed(spark, f"{feed_root}/airports", multi_line),
-        table_root,
-    )
+def run_etl(
+    spark: SparkSession, feed_root: str, table_root: str, multi_line: bool = False,
+    airports: Sequence[str] | None = None, since: int | None = None, until: int | None = None,
+) -> FlightTables:
+    """Load ``feed_root/airports`` and ``feed_root/flights`` into the tables under ``table_root``.
+
+    ``airports`` (codes), ``since`` and ``until`` (first and last ``ingest_seq``) choose what to load. The codes are folders
+    of the archive, so other airports' files are not opened. Airport documents are all read: they tell the defaults.
+    """
+    feed = read_flight_feed(spark, f"{feed_root}/flights", multi_line)
+    if airports is not None:
+        feed = feed.filter(F.col("airport_iata").isin(list(airports)))
+    if since is not None:
+        feed = feed.filter(F.col("ingest_seq") >= since)
+    if until is not None:
+        feed = feed.filter(F.col("ingest_seq") <= until)
+    return load_feed(feed, read_airport_feed(spark, f"{feed_root}/airports", multi_line), table_root)
 
 
-def load_feed(feed: DataFrame, airport_docs: DataFrame, table_root: str) -> FlightTables:
-    """Load flight and airport documents.
+def load_feed(feed: DataFrame, airport_docs: DataFrame, table_root: str, database: str | None = None) -> FlightTables:
+    """Load flight and airport documents; the result's ``skipped`` says which airports were left out, and why.
 
     An airport is skipped, with its flights, when its document lacks a column or when it has no
     flights at all; the others load all the same. The cleaned rows are written once to the shared
@@ -58,8 +72,17 @@ def load_feed(feed: DataFrame, airport_docs: DataFrame, table_root: str) -> Flig
     cleaned = materialise(clean_movements(flying.join(codes, "airport_iata", "left_semi"), defaults))
 
     active = cleaned.select(F.col("airport_iata").alias("iata_code")).distinct()
-    load_airports(accepted.join(active, "iata_code", "left_semi"), table_root)
-    append_flights(build_flights(cleaned), table_root)
+    load_airports(accepted.join(active, "iata_code", "left_semi"), table_root, database)
+    append_flights(build_flights(cleaned), table_root, database=database)
     insert_new_aircraft(build_aircraft(cleaned), table_root)
-    append_delays(delay_summary(dedupe_codeshares(compute_delays(cleaned))), table_root)
-    return read_tables(spark, table_root)
+    append_delays(daily_delays(cleaned), table_root)
+    return replace(read_tables(spark, table_root), skipped=skipped_airports(airports, active))
+
+
+def skipped_airports(airports: DataFrame, active: DataFrame) -> DataFrame:
+    """``iata_code, reason`` of each airport document that was not loaded: what it lacks, or that it has no flights."""
+    lacking = rejected_airports(airports).select(
+        "iata_code", F.concat(F.lit("missing: "), F.array_join("missing", ", ")).alias("reason"))
+    idle = accepted_airports(airports).join(active, "iata_code", "left_anti").select(
+        "iata_code", F.lit("no flight data").alias("reason"))
+    return lacking.unionByName(idle)

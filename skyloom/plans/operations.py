@@ -18,11 +18,13 @@ def frequent_routes(flights: DataFrame, iata: str | None = None, min_flights: in
 
     A listing with a missing name or time is not counted.
     """
-    parts = ["origin_name", "destination_name", "scheduled_departure_utc", "scheduled_arrival_utc"]
+    named = F.col("origin_name").isNotNull() & F.col("destination_name").isNotNull()
+    schedules = F.count_distinct("scheduled_departure_utc", "scheduled_arrival_utc")
     return (
         at_airport(flights, iata, "origin")
         .groupBy("origin_name", "destination_name")
-        .agg(F.count_distinct(*parts).alias("outbound_flights"))
+        .agg(schedules.alias("outbound_flights"))
+        .withColumn("outbound_flights", F.when(named, F.col("outbound_flights")).otherwise(F.lit(0)))
         .filter(F.col("outbound_flights") > min_flights)
         .orderBy(F.desc("outbound_flights"), "origin_name", "destination_name")
     )
@@ -52,7 +54,10 @@ def unique_departures(flights: DataFrame, iata: str | None = None) -> DataFrame:
 
 
 def flight_classification(flights: DataFrame, iata: str | None = None) -> DataFrame:
-    """Each departing flight as Domestic or International; an unknown country is International."""
+    """Each departing flight as Domestic or International; an unknown country is International.
+
+    Flight number and destination end the order, so the sort also deals out one airport's rows over all tasks.
+    """
     same_country = F.col("origin_country_code") == F.col("destination_country_code")
     return (
         unique_departures(flights, iata)
@@ -62,7 +67,7 @@ def flight_classification(flights: DataFrame, iata: str | None = None) -> DataFr
             F.col("destination_name").alias("destination"),
             F.when(same_country, "Domestic").otherwise("International").alias("flight_type"),
         )
-        .orderBy(F.desc("flight_type"), F.asc_nulls_first("origin"))
+        .orderBy(F.desc("flight_type"), *[F.asc_nulls_first(c) for c in ["origin", "flight_number", "destination"]])
     )
 
 

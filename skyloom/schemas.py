@@ -163,8 +163,8 @@ AIRPORT_DEFAULTS = [
 ]
 
 
-def conform(df: DataFrame, schema: T.StructType, cut_text: bool = True) -> DataFrame:
-    """``df`` with exactly the columns, types and (unless ``cut_text`` is off) text widths of ``schema``."""
+def conform(df: DataFrame, schema: T.StructType, cut_text: bool = False) -> DataFrame:
+    """``df`` with exactly the columns, types and, with ``cut_text``, text widths of ``schema``."""
 
     def stored(field: T.StructField) -> Column:
         value = F.col(field.name).cast(field.dataType)

@@ -11,6 +11,8 @@ from skyloom.schemas import FEED
 _FILE_IATA = r"flight_data_([A-Za-z0-9]+)[^/]*$"
 _DOC_FIELDS = [T.StructField("ingest_seq", T.LongType()), T.StructField("doc_id", T.StringType())]
 _ARCHIVED = T.StructType([*_DOC_FIELDS, *FEED.fields])
+# The airport is a partition folder; typed here, a code of digits stays text.
+_READ = T.StructType([*_ARCHIVED.fields, T.StructField("airport_iata", T.StringType())])
 
 
 def archive_feed(feed: DataFrame, path: str) -> None:
@@ -36,16 +38,15 @@ def read_flight_feed(spark: SparkSession, path: str, multi_line: bool = False) -
     ``flight_data_<IATA>.json`` documents, whose airport comes from the file name and whose order is
     the files' modification time.
     """
-    return document_columns(spark.read.schema(_ARCHIVED).option("multiLine", multi_line).json(path))
+    return document_columns(spark.read.schema(_READ).option("multiLine", multi_line).json(path))
 
 
 def document_columns(raw: DataFrame) -> DataFrame:
     """The columns of ``read_flight_feed`` from a batch or streaming JSON read."""
     file = F.col("_metadata.file_path")
     from_name = F.nullif(F.regexp_extract(file, _FILE_IATA, 1), F.lit(""))
-    airport = F.col("airport_iata").cast("string") if "airport_iata" in raw.columns else from_name
     return raw.select(
-        airport.alias("airport_iata"),
+        F.coalesce("airport_iata", from_name).alias("airport_iata"),
         F.coalesce("ingest_seq", F.unix_micros("_metadata.file_modification_time")).alias("ingest_seq"),
         F.coalesce("doc_id", file).alias("doc_id"),
         "arrivals", "departures",

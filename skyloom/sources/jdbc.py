@@ -17,14 +17,14 @@ def read_jdbc_tables(
     spark: SparkSession,
     url: str,
     properties: Mapping[str, str],
-    flight_predicates: Sequence[str] | None = None,
+    predicates: Mapping[str, Sequence[str]] | None = None,
 ) -> FlightTables:
-    """The four tables; ``flight_predicates`` (one SQL condition per partition, together covering every
-    row once) lets the executors read ``flights`` side by side instead of through one connection."""
+    """The four tables; ``predicates`` (by table, one SQL condition per partition, together covering every
+    row once) let the executors read a table side by side instead of through one connection."""
     frames = {}
     for name, schema in TABLES.items():
-        predicates = list(flight_predicates) if flight_predicates and name == "flights" else None
-        frame = spark.read.jdbc(url, name, predicates=predicates, properties={**properties, "preferTimestampNTZ": "true"})
+        parts = list((predicates or {}).get(name, [])) or None
+        frame = spark.read.jdbc(url, name, predicates=parts, properties={**properties, "preferTimestampNTZ": "true"})
         frames[name] = frame.select(*schema.names)
     return FlightTables(**frames)
 
@@ -32,7 +32,7 @@ def read_jdbc_tables(
 def append_jdbc(
     df: DataFrame, url: str, table: str, properties: Mapping[str, str], batch_size: int = 500, connections: int = 16
 ) -> None:
-    """Append rows in batches over at most ``connections`` connections."""
-    df.coalesce(connections).write.option("batchsize", batch_size).jdbc(
+    """Append rows in batches over ``connections`` connections. A shuffle before them keeps the plan above parallel."""
+    df.repartition(connections).write.option("batchsize", batch_size).jdbc(
         url, table, mode="append", properties=dict(properties)
     )

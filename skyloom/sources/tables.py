@@ -25,14 +25,18 @@ _PARTITIONS = {
 }
 
 
+_CATALOG_NAMES = {"airport": "airport_versions"}
+
+
 @dataclass(frozen=True)
 class FlightTables:
-    """One DataFrame per stored table."""
+    """One DataFrame per stored table; after a load also the airports that were skipped, with the reason."""
 
     airport: DataFrame
     flights: DataFrame
     aircraft: DataFrame
     airport_delays: DataFrame
+    skipped: DataFrame | None = None
 
 
 def _stored_schema(table: str) -> T.StructType:
@@ -49,7 +53,11 @@ def _write(df: DataFrame, root: str, table: str, mode: str) -> None:
 
 
 def create_tables(spark: SparkSession, root: str, database: str | None = None) -> None:
-    """Create the four tables if absent; with ``database`` also register them in the catalog."""
+    """Create the four tables if absent; with ``database`` also register them in the catalog.
+
+    The catalog's ``airport`` is a view of the newest version in ``airport_versions``. Give ``database`` to the
+    sinks too, so that what they add shows there at once.
+    """
     for table in TABLES:
         _write(spark.createDataFrame([], _stored_schema(table)), root, table, "ignore")
     if database:
@@ -59,19 +67,30 @@ def create_tables(spark: SparkSession, root: str, database: str | None = None) -
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _stored_schema(table))
             by = f"PARTITIONED BY (`{partition.name}`)" if partition else ""
             spark.sql(
-                f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` ({columns}) USING parquet {by} "
+                f"CREATE TABLE IF NOT EXISTS `{database}`.`{_CATALOG_NAMES.get(table, table)}` ({columns}) USING parquet {by} "
                 f"LOCATION '{root}/{table}'"
             )
-            if partition:
-                spark.sql(f"MSCK REPAIR TABLE `{database}`.`{table}`")
+        versions = f"`{database}`.`airport_versions`"
+        spark.sql(
+            f"CREATE VIEW IF NOT EXISTS `{database}`.`airport` AS SELECT {', '.join(AIRPORT.names)} FROM {versions} "
+            f"WHERE version = (SELECT max(version) FROM {versions})"
+        )
+        refresh_catalog(spark, database)
+
+
+def refresh_catalog(spark: SparkSession, database: str) -> None:
+    """Let the catalog see the partitions and files that were written under its tables since."""
+    for table in TABLES:
+        name = f"`{database}`.`{_CATALOG_NAMES.get(table, table)}`"
+        spark.sql(f"MSCK REPAIR TABLE {name}" if table in _PARTITIONS else f"REFRESH TABLE {name}")
 
 
 def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(_stored_schema(table)).parquet(f"{root}/{table}")
 
 
-def read_tables(spark: SparkSession, root: str, views: bool = True) -> FlightTables:
-    """The stored tables; ``views`` also makes them temporary views for ``spark.sql``."""
+def read_tables(spark: SparkSession, root: str, views: bool = False) -> FlightTables:
+    """The stored tables; ``views`` also makes them the session's temporary views for ``spark.sql``."""
     versions = _read(spark, root, "airport")
     newest = versions.agg(F.max("version")).scalar()
     frames = {
@@ -86,14 +105,16 @@ def read_tables(spark: SparkSession, root: str, views: bool = True) -> FlightTab
     return FlightTables(**frames)
 
 
-def load_airports(incoming: DataFrame, root: str) -> None:
+def load_airports(incoming: DataFrame, root: str, database: str | None = None) -> None:
     """Upsert airport rows and write the result as the next version."""
     spark = incoming.sparkSession
-    existing = read_tables(spark, root, views=False).airport
+    existing = read_tables(spark, root).airport
     merged = upsert_airports(existing, conform_keyed(incoming))
     last = _read(spark, root, "airport").agg(F.max("version")).first()[0] or 0
     version = F.lit(last + 1).cast("long").alias("version")
-    _write(conform(merged, AIRPORT, cut_text=False).select("*", version), root, "airport", "append")
+    _write(conform(merged, AIRPORT).select("*", version), root, "airport", "append")
+    if database:
+        refresh_catalog(spark, database)
 
 
 def conform_keyed(incoming: DataFrame) -> DataFrame:
@@ -103,41 +124,56 @@ def conform_keyed(incoming: DataFrame) -> DataFrame:
     )
 
 
+def _stored_rows(df: DataFrame, schema: T.StructType, cut_text: bool) -> tuple[DataFrame, list]:
+    """``df`` in stored types and widths, with the order columns it has, and the order that says which row is first."""
+    order = [c for c in ORDER_COLUMNS if c in df.columns]
+    more = [c for c in order if c not in schema.names]
+    kept = T.StructType(schema.fields + [df.schema[c] for c in more])
+    return conform(df, kept, cut_text), [F.col(c).asc_nulls_first() for c in order or schema.names]
+
+
 def append_flights(
-    df: DataFrame, root: str, dedupe_keys: Sequence[str] | None = None, cut_text: bool = True
+    df: DataFrame, root: str, dedupe_keys: Sequence[str] | None = None, cut_text: bool = False,
+    database: str | None = None,
 ) -> None:
     """Append flight rows.
 
     Loading the same rows twice stores them twice, as nothing in the table is unique. With
-    ``dedupe_keys`` only rows with unseen keys are added, the first of each; NULL keys are equal.
+    ``dedupe_keys`` only rows with unseen keys are added, the first of each; NULL keys are equal. Text is
+    stored whole; ``cut_text`` cuts it to the columns' widths, before keys are compared. Where the
+    departure time is a key, only the stored dates of the batch are read.
     """
+    rows, order = _stored_rows(df, FLIGHTS, cut_text)
+    departure_date = F.col("scheduled_departure_utc").cast("date")
     if dedupe_keys:
-        order = [c for c in ORDER_COLUMNS if c in df.columns] or FLIGHTS.names
-        df = first_per_key(df, dedupe_keys, [F.col(c).asc_nulls_first() for c in order])
-        rows = conform(df, FLIGHTS, cut_text)
-        seen = _read(df.sparkSession, root, "flights").select(*[F.col(k).alias(f"seen_{k}") for k in dedupe_keys])
+        rows = first_per_key(rows, dedupe_keys, order)
+        stored = _read(df.sparkSession, root, "flights")
+        seen = stored.select(*[F.col(k).alias(f"seen_{k}") for k in dedupe_keys], "flight_date")
         same = [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in dedupe_keys]
+        if "scheduled_departure_utc" in dedupe_keys:
+            same.append(departure_date.eqNullSafe(F.col("flight_date")))
         rows = rows.join(seen, same, "left_anti")
-    else:
-        rows = conform(df, FLIGHTS, cut_text)
-    dated = rows.withColumn("flight_date", F.col("scheduled_departure_utc").cast("date"))
+    dated = rows.select(*FLIGHTS.names).withColumn("flight_date", departure_date)
     _write(dated.hint("rebalance", "flight_date"), root, "flights", "append")
+    if database:
+        refresh_catalog(df.sparkSession, database)
 
 
-def insert_new_aircraft(df: DataFrame, root: str, cut_text: bool = True) -> None:
-    """Append aircraft whose registration is not stored yet; the stored row stays as it is."""
-    existing = _read(df.sparkSession, root, "aircraft")
-    new = new_aircraft(existing, conform(df, AIRCRAFT, cut_text))
+def insert_new_aircraft(df: DataFrame, root: str, cut_text: bool = False) -> None:
+    """Append aircraft whose registration is not stored yet, the first row of each; stored rows stay as they are."""
+    rows, order = _stored_rows(df, AIRCRAFT, cut_text)
+    rows = first_per_key(rows, ["aircraft_registration"], order)
+    new = new_aircraft(_read(df.sparkSession, root, "aircraft"), rows)
     _write(new.hint("rebalance"), root, "aircraft", "append")
 
 
 def new_aircraft(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The ``incoming`` rows with an unseen registration (one row each, see ``build_aircraft``)."""
+    """The ``incoming`` rows (one per registration) with an unseen registration."""
     return incoming.join(existing.select("aircraft_registration"), "aircraft_registration", "left_anti").select(
         *AIRCRAFT.names
     )
 
 
-def append_delays(df: DataFrame, root: str, cut_text: bool = True) -> None:
+def append_delays(df: DataFrame, root: str, cut_text: bool = False) -> None:
     """Append delay summary rows; a repeated sync adds its rows again."""
     _write(conform(df, AIRPORT_DELAYS, cut_text).hint("rebalance"), root, "airport_delays", "append")

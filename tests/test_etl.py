@@ -5,12 +5,15 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skyloom.functions.times import utc_timestamp
 from skyloom.operators import airports as A
 from skyloom.operators import delays as D
 from skyloom.operators import movements as M
+from skyloom.operators.airports import build_airport
 from skyloom.plans.etl import run_etl
-from skyloom.schemas import FLIGHTS, TIME_COLUMNS
+from skyloom.schemas import AIRCRAFT, FEED, FLIGHTS, TIME_COLUMNS
 from skyloom.sources import feeds, tables
 from tests.rows import at, tuples
 
@@ -210,7 +213,10 @@ def test_run_etl(spark, feed_root, tmp_path):
     assert loaded.aircraft.count() == 2 and loaded.airport_delays.count() == 2
     # An extended default fills the airport that the built-in ones do not know.
     assert loaded.flights.filter("flight_number = 'Q1'").first().destination_name == "QQQ Field"
+    tables.read_tables(spark, root, views=True)
     assert spark.sql("SELECT count(*) AS n FROM flights WHERE flight_number = 'A1'").first().n == 1
+    assert sorted((r.iata_code, r.reason.split(":")[0]) for r in loaded.skipped.collect()) == [
+        ("BAD", "missing"), ("NIL", "no flight data")]
 
     # A repeated sync doubles flights and delays and leaves airports and aircraft as they are.
     again = run_etl(spark, feed_root, root, multi_line=True)
@@ -218,6 +224,11 @@ def test_run_etl(spark, feed_root, tmp_path):
         2, 14, 2, 4)
 
 
+def test_a_load_can_choose_airports(spark, feed_root, tmp_path):
+    loaded = run_etl(spark, feed_root, str(tmp_path / "tables"), multi_line=True, airports=["QQQ"])
+    assert [r.flight_number for r in loaded.flights.collect()] == ["Q1"]
+
+
 def test_dedupe_keys_and_cut_text(spark, tmp_path):
     root = str(tmp_path / "tables")
     tables.create_tables(spark, root)
@@ -230,11 +241,22 @@ def test_dedupe_keys_and_cut_text(spark, tmp_path):
     for _ in range(2):
         tables.append_flights(df, root, dedupe_keys=["flight_number", "scheduled_departure_utc"])
     stored = tables.read_tables(spark, root).flights
-    assert sorted((r.flight_number for r in stored.collect()), key=str) == ["1", None, "X" * 20] or \
-        sorted((str(r.flight_number) for r in stored.collect())) == ["1", "None", "X" * 20]
+    assert sorted(str(r.flight_number) for r in stored.collect()) == ["1", "None", "X" * 30]
     assert all(f.dataType.simpleString() == "timestamp_ntz" for f in stored.schema if f.name in TIME_COLUMNS)
-    tables.append_flights(df, root, cut_text=False)
-    assert tables.read_tables(spark, root).flights.filter(F.length("flight_number") == 30).count() == 1
+    tables.append_flights(df, root, cut_text=True)
+    assert tables.read_tables(spark, root).flights.filter(F.length("flight_number") == 20).count() == 1
+
+
+@pytest.mark.parametrize("cut, kept", [(False, ["R" * 20 + "1", "R" * 20 + "2"]), (True, ["R" * 20])])
+def test_registrations_stay_unique(spark, tmp_path, cut, kept):
+    root = str(tmp_path / "tables")
+    tables.create_tables(spark, root)
+    rows = [{"aircraft_registration": "R" * 20 + n} for n in "1212"]
+    df = spark.createDataFrame([tuple(r.get(n) for n in AIRCRAFT.names) for r in rows], AIRCRAFT)
+    for _ in range(2):
+        tables.insert_new_aircraft(df, root, cut_text=cut)
+    stored = tables.read_tables(spark, root).aircraft
+    assert sorted(r.aircraft_registration for r in stored.collect()) == kept
 
 
 def test_catalog_tables(spark, tmp_path):
@@ -248,22 +270,31 @@ def test_catalog_tables(spark, tmp_path):
     assert spark.table("flightops_test.aircraft").count() == 0
 
 
-def test_streaming_ingest_loads_each_file_once(spark, feed_root, tmp_path):
-    from skyloom.streaming.ingest import start_ingest
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_text_that_is_no_time_is_null(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        bad = ["08:00", "T8:00", "2026-03-14T08", "2026-03-14", "2026-03-14 08:00" + " " * 97 + "junk", "2026-03-14 08:00z",
+               "2026-03-14 08:00Z" + "x" * 200, "2026-13-14 08:00", "", None]
+        good = ["2026-03-14 08:00", "2026-03-14T08:00:00Z", "2026-03-14 13:30+05:30", "2026-03-14 08:00" + " " * 97 + "Z"]
+        rows = spark.createDataFrame([(t,) for t in bad + good], "text string").select(utc_timestamp(F.col("text")).alias("t"))
+        assert [r.t for r in rows.collect()] == [None] * len(bad) + [at("14 08:00")] * len(good)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
 
-    root, table_root, checkpoint = (str(tmp_path / n) for n in ("in", "tables", "checkpoint"))
-    raw = feeds.read_flight_feed(spark, f"{feed_root}/flights", multi_line=True)
-    docs = feeds.read_airport_feed(spark, f"{feed_root}/airports", multi_line=True)
-    docs.select(F.to_json("doc").alias("json")).write.text(f"{root}/airports")
+def test_a_code_of_digits_stays_text(spark, tmp_path):
+    raw = spark.createDataFrame([("007", 1, "d", None, None)], T.StructType([
+        T.StructField("airport_iata", T.StringType()), T.StructField("ingest_seq", T.LongType()),
+        T.StructField("doc_id", T.StringType()), *FEED.fields]))
+    feeds.archive_feed(raw, str(tmp_path / "feed"))
+    assert feeds.read_flight_feed(spark, str(tmp_path / "feed")).first().airport_iata == "007"
 
-    def sync():
-        query = start_ingest(spark, root, table_root, checkpoint)
-        query.awaitTermination(120)
-        assert query.exception() is None
-        return tables.read_tables(spark, table_root)
 
-    feeds.archive_feed(raw.filter("airport_iata = 'LHR'"), f"{root}/flights")
-    assert sync().flights.count() == 6
-    feeds.archive_feed(raw.filter("airport_iata = 'QQQ'"), f"{root}/flights")
-    assert sync().flights.count() == 7
-    assert sync().flights.count() == 7
+def test_null_country_counts_as_present(spark):
+    json = '{"ingest_seq":1,"doc_id":"a","icao":"I","iata":"A","fullName":"N","municipalityName":"M","country":null,' \
+           '"continent":null,"location":%s,"timeZone":"UTC"}'
+    docs = spark.createDataFrame([(json % '{"lat":1,"lon":2}',), (json % "null",)], "j string").selectExpr(
+        "1L AS ingest_seq", "'a' AS doc_id", "parse_json(j) AS doc")
+    assert sorted(",".join(r.missing) for r in build_airport(docs).collect()) == ["", "latitude,longitude"]

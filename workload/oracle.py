@@ -204,6 +204,9 @@ def _reports() -> dict[str, str]:
         "r05_busy_aircraft": f""", {_PHYSICAL.format(**every)}
             SELECT reg AS aircraft_registration, model AS aircraft_model, count(*) AS total_flights
             FROM physical GROUP BY ALL HAVING count(*) > 9""",
+        "r05_busy_aircraft_default": f""", {_PHYSICAL.format(**every)}
+            SELECT reg AS aircraft_registration, model AS aircraft_model, count(*) AS total_flights
+            FROM physical GROUP BY ALL HAVING count(*) > 5""",
         "r06_frequent_routes": _FREQUENT.format(least=39, **every),
         "r06_frequent_routes_at": _FREQUENT.format(least=5, where=_FROM),
         "r07_top_origins": _TOP_ORIGINS.format(**every),
@@ -236,6 +239,10 @@ def _reports() -> dict[str, str]:
             SELECT aircraft_manufacturer, total_flights,
                 {_PERCENT.format('total_flights / sum(total_flights) OVER () * 100')} AS "Percentage"
             FROM ({_MANUFACTURERS.format(**every)}) t""",
+        "p01_percent_share_models": f"""
+            SELECT aircraft_model, total_flights,
+                {_PERCENT.format('total_flights / sum(total_flights) OVER () * 100')} AS "Percentage"
+            FROM ({_MODELS.format(**every)}) t""",
         "p02_status_percentages": _PERFORMANCE.format(**every) + """, named AS (
             SELECT airline_name, sum(on_time_flights) AS a, sum(delayed_flights) AS b, sum(cancelled_flights) AS c
             FROM performance GROUP BY airline_name)
@@ -266,6 +273,10 @@ def _reports() -> dict[str, str]:
         "p08_polyline_vertices_at": f""", segments AS (
             SELECT h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat, p.longitude AS dest_lon
             FROM ({_OUTBOUND}) p, airport h WHERE h.iata_code = '{AT}') {_VERTICES}""",
+        "p08_polyline_vertices_inbound": f""", segments AS (
+            SELECT h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat, p.longitude AS dest_lon
+            FROM ({_PARTNERS.format(other="origin_iata", own="destination_iata", iata="N15")}) p, airport h
+            WHERE h.iata_code = 'N15') {_VERTICES}""",
         "p09_airport_labels": """SELECT 'All Airports (Global View)' AS label, 'ALL' AS iata_code
             UNION ALL SELECT name || ' (' || iata_code || ')', iata_code FROM airport""",
         "p10_percent_text": f"SELECT *, {_PERCENT.format('percent_delayed')} AS text FROM ({_DELAY_SOURCES.format(**every)}) t",
@@ -285,9 +296,12 @@ def _reports() -> dict[str, str]:
             FROM flights f JOIN airport o ON o.iata_code = f.origin_iata
             JOIN aircraft a ON a.aircraft_registration = f.aircraft_registration GROUP BY ALL""",
         "s08_create_tables": "SELECT * FROM aircraft",
+        "s08_catalog_tables": """SELECT iata_code, name, count(*) AS flights FROM airport
+            JOIN flights ON origin_iata = iata_code GROUP BY ALL""",
     }
 
 
+# The built-in airports, as IATA, ICAO, name and country code.
 _SEEDS = """
 seeds AS (SELECT * FROM (VALUES
     ('DEL', 'VIDP', 'New Delhi Indira Gandhi', 'in'), ('BLR', 'VOBL', 'Banglaore Bengaluru', 'in'),
@@ -401,6 +415,9 @@ _FROM_RAW = _ETL + _RAW
 _FROM_SEEDS = _ETL + _FILLED.format(dim="seeds", where="")
 _FROM_ETL = _ETL + _FILLED.format(
     dim="extended", where="WHERE airport_iata IN (SELECT iata_code FROM docs WHERE missing = '')")
+_FROM_AT = _ETL + _FILLED.format(
+    dim="extended", where="""WHERE airport_iata IN (SELECT iata_code FROM docs WHERE missing = '')
+        AND airport_iata IN ('LHR', 'SFO', 'C000030') AND ingest_seq BETWEEN 5 AND 20""")
 
 _IDS = "airport_iata, ingest_seq, doc_id, movement_type, pos"
 _FLIGHT_COLUMNS = """flight_number, aircraft_registration, origin_icao, origin_iata, origin_name, origin_country_code,
@@ -464,6 +481,11 @@ def _etl() -> dict[str, str]:
         "t16_run_etl": f"{_FROM_ETL} {_DELAYS} SELECT * FROM summary",
         "t16_run_etl_airports": f"""{_FROM_ETL} SELECT icao_code, iata_code, name, city, country, continent, latitude,
             longitude, timezone FROM docs WHERE missing = '' AND iata_code IN (SELECT airport_iata FROM cleaned)""",
+        "t16_run_etl_at": f"{_FROM_AT} SELECT {_FLIGHT_COLUMNS} FROM cleaned",
+        "t16_run_etl_skipped": f"""{_FROM_ETL} SELECT iata_code, concat('missing: ', replace(missing, ',', ', ')) AS reason
+            FROM docs WHERE missing <> ''
+            UNION ALL SELECT iata_code, 'no flight data' FROM docs
+            WHERE missing = '' AND iata_code NOT IN (SELECT airport_iata FROM cleaned)""",
         "s01_read_flight_feed": f"{_FROM_RAW} SELECT {_RAW_COLUMNS} FROM cleaned",
         "s02_read_airport_feed": f"""{_FROM_RAW} SELECT ingest_seq, doc_id, iata_code AS iata, name AS full_name,
             upper(country_code) AS country_code, latitude AS lat, timezone AS time_zone FROM docs""",
@@ -475,6 +497,13 @@ def _etl() -> dict[str, str]:
                 ORDER BY ingest_seq, movement_rank, doc_id, pos) = 1""",
         "s06_insert_new_aircraft": f"""{_FROM_SEEDS}
             {_FIRST_AIRCRAFT.format(columns=_AIRCRAFT_COLUMNS, first='ingest_seq < 14,')}""",
+        "s06_insert_new_aircraft_long": """SELECT * FROM (
+            SELECT concat('FL', l_suppkey) AS flight_number, concat(repeat('R', 20), l_partkey) AS aircraft_registration,
+                concat(repeat('Model ', 30), l_partkey % 50) AS aircraft_model, concat('AL', l_suppkey % 20) AS airline_code_icao,
+                concat('A', l_suppkey % 20) AS airline_code_iata, concat('Airline ', l_suppkey % 30) AS airline_name,
+                'Model' AS aircraft_manufacturer
+            FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey
+                ORDER BY l_orderkey % 2, l_orderkey, printf('%012d', l_suppkey), l_linenumber) = 1)""",
         "s07_append_delays": f"{_FROM_SEEDS} {_DELAYS} SELECT * FROM summary UNION ALL SELECT * FROM summary",
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,12 @@ _report("p08_polyline_vertices", lambda flights, airport: display.polyline_verti
 _report("p08_polyline_vertices_at", lambda flights, airport: display.polyline_vertices(_plain(
     network.airport_segments(
         network.outbound_destinations(flights, airport, AT), network.airport_position(airport, AT)))))
+_report("p08_polyline_vertices_inbound", lambda flights, airport: display.polyline_vertices(_plain(
+    network.airport_segments(
+        network.inbound_origins(flights, airport, "N15"), network.airport_position(airport, "N15")))))
+_report("p01_percent_share_models", lambda flights, aircraft: display.with_percent_share(
+    fleet.models_by_manufacturer(flights, aircraft, "red"), "total_flights"))
+_report("r05_busy_aircraft_default", lambda flights, aircraft: fleet.busy_aircraft(flights, aircraft))
 _report("p09_airport_labels", lambda airport: display.airport_labels(network.airport_list(airport)))
 _report("p10_percent_text", lambda flights: display.percent_text(operations.delay_sources(flights)))
 _report("p11_point_labels", lambda flights, airport: display.point_labels(
@@ -214,7 +221,7 @@ def dedupe_codeshares(spark, sf):
 
 @query("t15_delay_summary")
 def delay_summary(spark, sf):
-    return D.delay_summary(D.dedupe_codeshares(D.compute_delays(_cleaned(spark, sf))))
+    return D.daily_delays(_cleaned(spark, sf))
 
 
 def _archive(spark: SparkSession, sf: str) -> str:
@@ -234,6 +241,17 @@ def run_etl_airports(spark, sf):
     return _plain(etl.run_etl(spark, _archive(spark, sf), shared_dir(spark, "tables")).airport)
 
 
+@query("t16_run_etl_at")
+def run_etl_at(spark, sf):
+    return etl.run_etl(
+        spark, _archive(spark, sf), shared_dir(spark, "tables"), airports=["LHR", "SFO", "C000030"], since=5, until=20).flights
+
+
+@query("t16_run_etl_skipped")
+def run_etl_skipped(spark, sf):
+    return etl.run_etl(spark, _archive(spark, sf), shared_dir(spark, "tables")).skipped
+
+
 # Sources and sinks.
 @query("s01_read_flight_feed")
 def read_flight_feed(spark, sf):
@@ -267,7 +285,7 @@ def read_tables(spark, sf):
     stored.load_airports(named, root)
     stored.append_flights(T.flights(spark, sf), root)
     stored.insert_new_aircraft(T.aircraft(spark, sf), root)
-    stored.read_tables(spark, root)
+    stored.read_tables(spark, root, views=True)
     return spark.sql("""
         SELECT o.country, a.aircraft_manufacturer, count(*) AS listings,
                count(f.actual_departure_utc) AS departed, min(f.scheduled_departure_utc) AS first_departure
@@ -302,16 +320,16 @@ def upsert_airports(spark, sf):
     stored.create_tables(spark, root)
     stored.load_airports(existing.selectExpr("0L AS ingest_seq", "name AS doc_id", "*"), root)
     stored.load_airports(incoming, root)
-    return _plain(stored.read_tables(spark, root, views=False).airport)
+    return _plain(stored.read_tables(spark, root).airport)
 
 
 def _loaded_twice(spark: SparkSession, sf: str, dedupe_keys=None) -> DataFrame:
     root = shared_dir(spark, "tables")
     stored.create_tables(spark, root)
-    rows = M.parse_utc(M.project_flights(_normalised(spark, sf)))
+    rows = materialise(M.parse_utc(M.project_flights(_normalised(spark, sf))))
     for _ in range(2):
         stored.append_flights(rows, root, dedupe_keys)
-    return stored.read_tables(spark, root, views=False).flights
+    return stored.read_tables(spark, root).flights
 
 
 @query("s05_append_flights")
@@ -331,7 +349,23 @@ def insert_new_aircraft(spark, sf):
     cleaned = materialise(_cleaned(spark, sf))
     stored.insert_new_aircraft(M.build_aircraft(cleaned.filter("ingest_seq >= 14")), root)
     stored.insert_new_aircraft(M.build_aircraft(cleaned), root)
-    return stored.read_tables(spark, root, views=False).aircraft
+    return stored.read_tables(spark, root).aircraft
+
+
+@query("s06_insert_new_aircraft_long")
+def insert_new_aircraft_long(spark, sf):
+    """Registrations beyond the column's width, repeated within and across two batches, come back whole and once."""
+    root = shared_dir(spark, "tables")
+    stored.create_tables(spark, root)
+    long = T.table(spark, sf, "lineitem").selectExpr(
+        "'FL' || l_suppkey AS flight_number", "repeat('R', 20) || l_partkey AS aircraft_registration",
+        "repeat('Model ', 30) || l_partkey % 50 AS aircraft_model", "'AL' || l_suppkey % 20 AS airline_code_icao",
+        "'A' || l_suppkey % 20 AS airline_code_iata", "'Airline ' || l_suppkey % 30 AS airline_name",
+        "'Model' AS aircraft_manufacturer", "bigint(l_orderkey) AS ingest_seq", "0 AS movement_rank",
+        "lpad(l_suppkey, 12, '0') AS doc_id", "l_linenumber AS pos")
+    stored.insert_new_aircraft(long.filter("ingest_seq % 2 = 0"), root)
+    stored.insert_new_aircraft(long, root)
+    return stored.read_tables(spark, root).aircraft
 
 
 @query("s07_append_delays")
@@ -341,7 +375,21 @@ def append_delays(spark, sf):
     summary = materialise(delay_summary(spark, sf))
     for _ in range(2):
         stored.append_delays(summary, root)
-    return stored.read_tables(spark, root, views=False).airport_delays
+    return stored.read_tables(spark, root).airport_delays
+
+
+@query("s08_catalog_tables")
+def catalog_tables(spark, sf):
+    """Two loads through the catalog: the newest airports, and flights as soon as they are appended."""
+    root, database = shared_dir(spark, "tables"), f"flights_{uuid.uuid4().hex}"
+    stored.create_tables(spark, root, database)
+    named = T.airport(spark, sf).withColumns({"ingest_seq": F.lit(1), "doc_id": F.col("icao_code")})
+    for _ in range(2):
+        stored.load_airports(named, root, database)
+    stored.append_flights(T.flights(spark, sf), root, database=database)
+    counted = spark.table(f"{database}.flights").groupBy("origin_iata").agg(F.count("*").alias("flights"))
+    return spark.table(f"{database}.airport").join(counted, F.col("iata_code") == F.col("origin_iata")).select(
+        "iata_code", "name", "flights")
 
 
 @query("s08_create_tables")
@@ -350,4 +398,4 @@ def create_tables(spark, sf):
     stored.create_tables(spark, root)
     stored.insert_new_aircraft(T.aircraft(spark, sf), root)
     stored.create_tables(spark, root)
-    return stored.read_tables(spark, root, views=False).aircraft
+    return stored.read_tables(spark, root).aircraft
