@@ -30,7 +30,7 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Words that stand beside personal data, by kind.
 CUES = {
     "email": "mail|contact|write|send|reply|address", "ip": r"\bip\b|host|server|addr|login|ping",
@@ -301,12 +301,13 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      length_col: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by its kind, and all other columns.
 
-    ``length_col``, if given and there, gets the new text's number of characters. Null texts stay null.
+    ``length_col``, if given and there, gets the new text's number of characters. Null texts and their lengths stay as they are.
     """
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"),
                        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     done = _found(rows, learn(docs, id_col, text_col)).select("row", redact(F.col("text"), F.col("found")).alias("text"))
     new = {text_col: F.when(F.col("row")[text_col].isNotNull(), F.col("text"))}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.col("row")[text_col].isNotNull(), F.length("text")).cast(docs.schema[length_col].dataType)
+        new[length_col] = F.when(F.col("row")[text_col].isNotNull(), F.length("text").cast(
+            docs.schema[length_col].dataType)).otherwise(F.col("row")[length_col])
     return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
