@@ -14,18 +14,28 @@ from pyspark.sql import functions as F
 FORM = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)? *(Z|[+-][0-9]{2}:?[0-9]{2})?\z"
 
 
+def time_text(text: Column) -> Column:
+    """The whole of ``text`` if it has the accepted form, else empty text."""
+    return F.regexp_extract(text, FORM, 0)
+
+
 def utc_timestamp(text: Column) -> Column:
     """Parse ISO-like text to naive UTC; text that is no time, or NULL, gives NULL.
 
     The form is ``yyyy-MM-dd``, then a blank or ``T`` and ``HH:mm[:ss[.ffffff]]``, then ``Z`` or an
     offset; text without a zone is taken as UTC, and anything else in the whole text makes it no time (a plain date or
-    hour, or a small ``z``, too). Seconds and zone are put in where they are missing and the rest is left to the
-    built-in cast, which compiles to little code.
+    hour, or a small ``z``, too).
     """
+    return accepted_timestamp(time_text(text))
+
+
+def accepted_timestamp(text: Column) -> Column:
+    """The time in the outcome of ``time_text``. Seconds and zone are put in where they are missing and the rest is left
+    to the built-in cast, which compiles to little code."""
     seconds = F.when(F.substring(text, 17, 1) == ":", F.lit("")).otherwise(F.lit(":00"))
     zone = F.when(F.right(text, F.lit(6)).rlike("[Z+-]"), F.lit("")).otherwise(F.lit("Z"))
-    rest = F.replace(F.right(text, F.length(text) - 16), F.lit(" "))
-    full = F.when(text.rlike(FORM), F.concat(F.substring(text, 1, 16), seconds, rest, zone))
+    rest = F.replace(text.substr(F.lit(17), F.length(text)), F.lit(" "))
+    full = F.concat(F.substring(text, 1, 16), seconds, rest, zone)
     microsecond = F.expr("INTERVAL '0.000001' SECOND")
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + microsecond * F.unix_micros(full.try_cast("timestamp"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.functions.text import first_word
-from skyloom.functions.times import utc_timestamp, whole_seconds
+from skyloom.functions.times import accepted_timestamp, time_text, whole_seconds
 from skyloom.operators.dedupe import first_per_key
 from skyloom.schemas import AIRCRAFT, FEED_PATHS, FLIGHTS, ORDER_COLUMNS, SYNC_KEYS, TIME_COLUMNS
 
@@ -56,8 +56,9 @@ def fill_airport_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
     """Fill the queried airport's missing fields on its own side of each flat flight row.
 
     ``defaults`` has one row per known airport (``iata``, ``icao``, ``name``, ``country_code``). No
-    broadcast is forced: Spark sends it out while it is small and shuffles both sides, with skew
-    splitting, when it is not.
+    broadcast is forced: Spark sends it out while it is small and shuffles both sides when it is not. It then splits a
+    busy airport only where nothing above the join counts on its rows lying together; ``daily_delays`` deals them
+    out anew by time.
     """
     fields = ["iata", "icao", "name", "country_code"]
     known = defaults.select(
@@ -89,7 +90,11 @@ def project_flights(df: DataFrame) -> DataFrame:
 def parse_utc(df: DataFrame, columns: Iterable[str] = tuple(TIME_COLUMNS)) -> DataFrame:
     """Parse text ``columns`` to naive UTC timestamps; columns that ``df`` lacks are skipped."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: utc_timestamp(F.col(c)) for c in present}) if present else df
+    if not present:
+        return df
+    # Two projections: the second reads each text several times, so they stay apart and compile to methods of their own.
+    checked = df.withColumns({c: time_text(F.col(c)) for c in present})
+    return checked.withColumns({c: accepted_timestamp(F.col(c)) for c in present})
 
 
 def sql_safe(df: DataFrame, as_text: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyloom.operators import airports as A
 from skyloom.operators import delays as D
@@ -15,7 +16,7 @@ from workload import tables as T
 
 SF = "/root/testdata/sf0.001"
 REPORTS = [name for name in registry.QUERIES if name[0] in "rp"]
-STEPS = [name for name in registry.QUERIES if name[0] == "t" and not name.startswith("t16")]
+STEPS = [name for name in registry.QUERIES if name[0] in "ts"]
 
 
 @pytest.fixture
@@ -54,6 +55,33 @@ def test_first_row_is_limited_before_the_shuffle(big, build):
     assert re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*WindowGroupLimit[^\n]*Partial", text)
 
 
+def test_one_airport_sorts_in_many_tasks(big):
+    rows = big.range(4000).selectExpr(
+        "'F' || id AS flight_number", "'AAA' AS origin_iata", "'One' AS origin_name", "'x' AS origin_country_code",
+        "'BBB' AS destination_iata", "'Two' AS destination_name", "'x' AS destination_country_code", "'Departure' AS movement_type",
+        "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, int(id)) AS scheduled_departure_utc")
+    big.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = operations.flight_classification(rows, "AAA").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        big.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 8
+
+
+def test_delays_are_dealt_out_by_time_in_two_shuffles(big, tmp_path):
+    M.clean_movements(T.feed(big, SF), A.airport_defaults(big)).write.parquet(str(tmp_path / "cleaned"))
+    text = plan(D.daily_delays(big.read.parquet(str(tmp_path / "cleaned"))))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert len(exchanges) == 2, text
+    assert "sched_time" in exchanges[1] and text.rindex("isnotnull(scheduled_arrival_utc") > text.index("Window")
+
+
+def test_route_names_are_shuffled_once(big):
+    text = plan(operations.frequent_routes(T.flights(big, SF)))
+    for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text):
+        assert keys.count("origin_name") <= 1
+
+
 def test_flights_are_counted_before_they_meet_aircraft(big):
     text = plan(fleet.manufacturer_share(T.flights(big, SF), T.aircraft(big, SF)))
     join = text.index("SortMergeJoin")
@@ -79,7 +107,7 @@ def test_generated_methods_stay_compilable(spark):
     cleaned = M.clean_movements(feed, A.airport_defaults(spark))
     for df in [
         M.build_flights(cleaned), M.build_aircraft(cleaned),
-        D.delay_summary(D.dedupe_codeshares(D.compute_delays(cleaned))),
+        D.daily_delays(cleaned),
     ]:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         try:
