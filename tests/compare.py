@@ -11,6 +11,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -72,7 +73,8 @@ def main() -> None:
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", shuffle_partitions=8,
-                          conf={"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+                          conf={"spark.ui.enabled": "false", "spark.driver.memory": "8g",
+                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")})
     spark.sparkContext.setLogLevel("ERROR")
     connection, sql = connect(sf_dir), entry.oracle_sql()
     queries = entry.queries()
