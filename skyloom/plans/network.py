@@ -82,9 +82,13 @@ def _partners(flights: DataFrame, airport: DataFrame, iata: str, own: str, other
 
 
 def airport_segments(partners: DataFrame, position: DataFrame) -> DataFrame:
-    """Segments from one airport's position to each of its partners, shaped like ``route_segments``."""
+    """Segments from one airport's position to each of its partners, shaped like ``route_segments``.
+
+    ``route`` is the partner's name, which tells apart two partners in one place.
+    """
     anchor = position.select(F.struct("latitude", "longitude")).scalar()
     return partners.withColumn("anchor", anchor).select(
+        F.col("name").alias("route"),
         F.col("anchor.latitude").alias("origin_lat"),
         F.col("anchor.longitude").alias("origin_lon"),
         F.col("latitude").alias("dest_lat"),

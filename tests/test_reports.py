@@ -267,7 +267,7 @@ def test_network(spark, places):
     assert number(tuples(network.inbound_origins(df, places, "BBB"))) == [("Alpha Field", 1, -1, 2)]
     segments = network.airport_segments(
         network.outbound_destinations(df, places, "AAA"), network.airport_position(places, "AAA"))
-    assert number(tuples(segments)) == [(1, -1, 2, -2)]
+    assert number(tuples(segments)) == [("Beta Field", 1, -1, 2, -2)]
     assert [r.iata_code for r in network.airport_list(places).collect()] == ["AAA", "BBB", "CCC"]
     assert network.has_data(places) and not network.has_data(places.limit(0))
     assert tuples(network.data_present(places.limit(0))) == [(False,)]

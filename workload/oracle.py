@@ -189,6 +189,7 @@ SELECT origin_lat, origin_lon, dest_lat, dest_lon, vertex,
     CASE vertex WHEN 0 THEN origin_lat WHEN 1 THEN dest_lat END AS lat,
     CASE vertex WHEN 0 THEN origin_lon WHEN 1 THEN dest_lon END AS lon
 FROM segments, (SELECT unnest([0, 1, 2])::INTEGER AS vertex) v"""
+_ROUTE_VERTICES = _VERTICES.replace("SELECT origin_lat", "SELECT route, origin_lat", 1)
 
 
 def _reports() -> dict[str, str]:
@@ -271,12 +272,14 @@ def _reports() -> dict[str, str]:
             flight_count AS "Flights" FROM ({_TOP_MODEL}) t""",
         "p08_polyline_vertices": f", segments AS ({_SEGMENTS}) {_VERTICES}",
         "p08_polyline_vertices_at": f""", segments AS (
-            SELECT h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat, p.longitude AS dest_lon
-            FROM ({_OUTBOUND}) p, airport h WHERE h.iata_code = '{AT}') {_VERTICES}""",
+            SELECT p.name AS route, h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat,
+                p.longitude AS dest_lon
+            FROM ({_OUTBOUND}) p, airport h WHERE h.iata_code = '{AT}') {_ROUTE_VERTICES}""",
         "p08_polyline_vertices_inbound": f""", segments AS (
-            SELECT h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat, p.longitude AS dest_lon
+            SELECT p.name AS route, h.latitude AS origin_lat, h.longitude AS origin_lon, p.latitude AS dest_lat,
+                p.longitude AS dest_lon
             FROM ({_PARTNERS.format(other="origin_iata", own="destination_iata", iata="N15")}) p, airport h
-            WHERE h.iata_code = 'N15') {_VERTICES}""",
+            WHERE h.iata_code = 'N15') {_ROUTE_VERTICES}""",
         "p09_airport_labels": """SELECT 'All Airports (Global View)' AS label, 'ALL' AS iata_code
             UNION ALL SELECT name || ' (' || iata_code || ')', iata_code FROM airport""",
         "p10_percent_text": f"SELECT *, {_PERCENT.format('percent_delayed')} AS text FROM ({_DELAY_SOURCES.format(**every)}) t",
