@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, texts_of
+from skyloom.llm.common import id_and_text, portions, texts_of
 
 # White space as the tokenizer file's pattern takes it, and that pattern.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -202,7 +202,7 @@ def _per_document(docs: DataFrame, id_col: str, text_col: str, fields: list[T.St
     schema = T.StructType([T.StructField("doc_id", source.schema["id"].dataType), *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             columns = list(zip(*[make(text) for text in texts_of(batch)])) or [()] * len(fields)
             types = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else
                      pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in fields]

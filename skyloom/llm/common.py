@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,25 +41,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal ``key`` in batches that are sorted by it. A run is held whole, so callers bound its size."""
-    held: list[pa.RecordBatch] = []
+def portions(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds at most ``most`` bytes of text, or one longer text: what a task holds at a time."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(batch.schema.get_field_index(key))
-        codes = values.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(codes)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        lot = np.cumsum(sizes) // most
+        edges = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
-            if start == 0 and held:
-                last = held[-1].column(held[-1].schema.get_field_index(key))[-1]
-                if last != values[0]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-            elif held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield batch.slice(start, end - start)

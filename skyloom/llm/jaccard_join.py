@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_and_text, staged, texts_of
+from skyloom.llm.common import id_and_text, portions, staged, texts_of
 from skyloom.llm.components import components
 from skyloom.llm.shingles import Shingled, mix, set_digests, shingle
 
@@ -113,8 +113,8 @@ class Frequencies(NamedTuple):
     mean_list: float
 
 
-def _bit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = values & np.uint64(FILTER_BITS - 1)
+def _bit(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    at = values & np.uint64(bits - 1)
     return (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
 
 
@@ -122,7 +122,7 @@ def frequencies(keyed: DataFrame, words: int, percent: int) -> Frequencies:
     """Counts over the smallest shingles (see ``counted``) of all documents, reduced to what the lists need."""
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             sets = shingle(texts_of(batch), words)
             values = _head(sets, counted(sets.sizes, percent))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["token"])
@@ -134,9 +134,9 @@ def frequencies(keyed: DataFrame, words: int, percent: int) -> Frequencies:
     rest = counts.filter(F.col("count") <= HEAVY_LIST).agg(
         F.sum(F.col("count") * (F.col("count") - 1)).alias("met"), F.sum("count").alias("entries")).first()
     words_of_bits = counts.groupBy(F.expr(f"(token & {FILTER_BITS - 1}) >> 6").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("bits")).collect()  # at most FILTER_BITS / 64
+        F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
     shared = np.zeros(FILTER_BITS // 64, np.int64)
-    shared[[r["word"] for r in words_of_bits]] = [r["bits"] for r in words_of_bits]
+    shared[words_of_bits["word"].to_numpy()] = words_of_bits["bits"].to_numpy()
     return Frequencies(np.sort(tokens), shared.view(np.uint64), (rest["met"] or 0) / max(rest["entries"] or 0, 1))
 
 
@@ -150,7 +150,7 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: F
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, several = shared.value.last, shared.value.shared
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
             begin = np.cumsum(sets.sizes) - sets.sizes
@@ -163,7 +163,7 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: F
             order = np.argsort(2 * of + late, kind="stable") if late.any() else slice(None)
             lengths = np.where(sets.sizes >= max(least_heavy, 1), np.minimum(prefix(sets.sizes, percent), sets.sizes), 0)
             rank = np.arange(len(of)) - begin[of]
-            word, bit = _bit(sets.values)
+            word, bit = _bit(sets.values, 64 * len(several))
             alone = (rank < counted(sets.sizes, percent)[of]) & ((several[word] >> bit) & np.uint64(1) == 0)
             tokens = _head(Shingled(sets.values[order], sets.sizes), lengths)
             listed = ~_head(Shingled(alone[order], sets.sizes), lengths)
@@ -400,7 +400,7 @@ def whole_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``wanted`` (``node``, digests, ``units``) with ``tokens``: all shingles, made anew from the node's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 5):
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
             # One id can have several texts; the node stands for the set with its digests.
@@ -410,7 +410,8 @@ def whole_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 names=["node", "n", "units", "tokens"]).filter(own)
 
     # The join deals texts out by key, so leaving out repeated rows needs no further shuffle.
-    texts = keyed.withColumnRenamed("key", "node").join(wanted.select("node"), "node", "left_semi").groupBy(
+    # It is a shuffled join at every size, as the wanted nodes grow with the input.
+    texts = keyed.withColumnRenamed("key", "node").join(wanted.select("node").hint("merge"), "node", "left_semi").groupBy(
         "node", "text").agg(F.count(F.lit(1)).alias("rows"))
     return texts.join(wanted, "node").select("node", "n", "d1", "d2", "units", "text").mapInArrow(
         run, "node long, n long, units array<struct<pivot:long,i:long,j:long,block:long>>, tokens array<long>")

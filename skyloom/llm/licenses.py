@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, texts_of
+from skyloom.llm.common import id_and_text, portions, texts_of
 from skyloom.llm.shingles import _shingle_some, mix
 from skyloom.llm.toxicity import _FOLD
 
@@ -136,7 +136,7 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(chosen)
-        for batch in batches:
+        for batch in portions(batches):
             texts = texts_of(batch)
             rows, found = [], []
             for start in range(0, len(texts), 200):

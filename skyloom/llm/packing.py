@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, partitions, staged, texts_of
+from skyloom.llm.common import id_and_text, partitions, portions, staged, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -87,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches):
             ids = batch.column(0)
             rows, pieces, lengths, sums, kept = [], [], [], [], []
             for row, packed in enumerate(encoder.pack(texts_of(batch))):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, staged, texts_of
+from skyloom.llm.common import id_and_text, portions, staged, texts_of
 
 # The base grammar, the kinds in their order, and words that announce a secret.
 KINDS = ["assign", "access", "hex", "novel"]
@@ -74,7 +74,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
               "candidates array<struct<start:int,end:int,value:string,around:string>>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             base, more = [], []
             for text in texts_of(batch):
                 own = base_spans(text)

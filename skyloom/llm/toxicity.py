@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, texts_of
+from skyloom.llm.common import id_and_text, portions, texts_of
 
 #: Subword table, n-gram lengths in bytes with word boundary marks, embedding width, words to a window.
 BUCKETS, SHORTEST, LONGEST, WIDTH, WINDOW = 1 << 18, 3, 6, 4, 8
@@ -206,7 +206,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([scorer.score(t) for t in texts_of(batch)], pa.float64())], names=schema.names)
 
@@ -234,7 +234,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in portions(batches, text_at):
             texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in texts], pa.bool_()))
 
