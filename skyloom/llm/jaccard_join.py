@@ -140,10 +140,50 @@ def frequencies(keyed: DataFrame, words: int, percent: int) -> Frequencies:
     return Frequencies(np.sort(tokens), shared.view(np.uint64), (rest["met"] or 0) / max(rest["entries"] or 0, 1))
 
 
+def _order(sets: Shingled, last: np.ndarray) -> tuple[np.ndarray | slice, np.ndarray]:
+    """The order to list shingles in (those in ``last`` at the end of their set), and the place of each in its sorted set."""
+    of = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
+    rank = np.arange(len(of)) - (np.cumsum(sets.sizes) - sets.sizes)[of]
+    if not len(last) or not len(of):
+        return slice(None), rank
+    late = last[np.minimum(np.searchsorted(last, sets.values), len(last) - 1)] == sets.values
+    return np.argsort(2 * of + late, kind="stable") if late.any() else slice(None), rank
+
+
+def with_uncounted(keyed: DataFrame, words: int, percent: int, known: Frequencies) -> Frequencies:
+    """``known`` with the bits of all shingles that a set lists without having counted them.
+
+    Moving frequent shingles to the end lets a set list others beyond its counted ones. One that another set did
+    count may have the count 1 and still be in both lists, so it must not pass for a shingle of one document.
+    """
+    if not len(known.last):
+        return known
+    shared = keyed.sparkSession.sparkContext.broadcast(known.last)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in portions(batches, 0):
+            sets = shingle(texts_of(batch), words)
+            order, rank = _order(sets, shared.value)
+            lengths = np.minimum(prefix(sets.sizes, percent), sets.sizes)
+            uncounted = rank >= np.repeat(counted(sets.sizes, percent), sets.sizes)
+            beyond = _head(Shingled(uncounted[order], sets.sizes), lengths)
+            word, bit = _bit(_head(Shingled(sets.values[order], sets.sizes), lengths)[beyond], FILTER_BITS)
+            np.bitwise_or.at(bits, word, np.uint64(1) << bit)
+        filled = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(bits[filled].view(np.int64))], names=["word", "bits"])
+
+    more = keyed.select("text").mapInArrow(run, "word long, bits long").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = known.shared.copy()
+    bits[more["word"].to_numpy()] |= more["bits"].to_numpy().view(np.uint64)
+    return known._replace(shared=bits)
+
+
 def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: Frequencies) -> DataFrame:
     """``key, n, d1, d2`` (two digests of the set), ``tokens`` to list and ``subsets`` of each document.
 
-    A shingle that was counted and is no other document's is left out: its list would have one entry.
+    A shingle that was counted and is in no other document's list is left out: its list would have one entry.
     """
     shared = keyed.sparkSession.sparkContext.broadcast(known)
     least_heavy = -(-percent * (boundary + 1) // 100)
@@ -154,17 +194,10 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: F
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
             begin = np.cumsum(sets.sizes) - sets.sizes
-            if len(last) and len(sets.values):
-                place = np.minimum(np.searchsorted(last, sets.values), len(last) - 1)
-                late = last[place] == sets.values
-            else:
-                late = np.zeros(len(sets.values), bool)
-            of = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
-            order = np.argsort(2 * of + late, kind="stable") if late.any() else slice(None)
+            order, rank = _order(sets, last)
             lengths = np.where(sets.sizes >= max(least_heavy, 1), np.minimum(prefix(sets.sizes, percent), sets.sizes), 0)
-            rank = np.arange(len(of)) - begin[of]
             word, bit = _bit(sets.values, 64 * len(several))
-            alone = (rank < counted(sets.sizes, percent)[of]) & ((several[word] >> bit) & np.uint64(1) == 0)
+            alone = (rank < np.repeat(counted(sets.sizes, percent), sets.sizes)) & ((several[word] >> bit) & np.uint64(1) == 0)
             tokens = _head(Shingled(sets.values[order], sets.sizes), lengths)
             listed = ~_head(Shingled(alone[order], sets.sizes), lengths)
             lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[listed], minlength=len(lengths))
@@ -419,7 +452,7 @@ def whole_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def _components(keyed: DataFrame, words: int, percent: int) -> DataFrame:
     """``key, n, component`` of each row; a component is the smallest key in it."""
-    known = frequencies(keyed, words, percent)
+    known = with_uncounted(keyed, words, percent, frequencies(keyed, words, percent))
     sketch = staged(sketches(keyed, words, percent, light_boundary(known.mean_list, percent), known), "sketch")
     edges = light_edges(sketch).unionByName(heavy_edges(keyed, sketch, words, percent))
     nodes = sketch.filter("n > 0").groupBy(*DIGESTS).agg(F.min("key").alias("node"))

@@ -82,6 +82,21 @@ def test_five_words_and_four_fifths(docs_of):
     assert sorted(map(tuple, got), key=str) == brute(rows, 5, 80)
 
 
+def test_near_copies_around_a_frequent_passage(docs_of):
+    """Frequent shingles move to the end, so sets list shingles beyond those that they counted."""
+    passage = [f"p{i}" for i in range(33)]
+    texts = [" ".join(passage + [f"only{i}_{k}" for k in range(5)]) for i in range(70)]
+    for i in range(400):
+        n = 12 + i % 22
+        base = passage[:n] + [f"b{i}_{k}" for k in range(n)]
+        size = 2 * n - 3
+        changed = max(d for d in range(size) if 100 * (size - d) >= 85 * (size + d))  # just a link
+        texts += [" ".join(base), " ".join(base[:2 * n - changed] + [f"c{i}_{k}" for k in range(changed)])]
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_components(docs_of(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_odd_rows(odd_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = jaccard_join.jaccard_components(odd_docs).collect()
