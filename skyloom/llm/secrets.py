@@ -25,7 +25,7 @@ ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|credential|bearer|private[_-]?key|signature", re.I | re.A)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 WORD = re.compile(r"[A-Za-z_]{3,32}")
 #: Characters before a candidate in which a sensitive word counts, and that are its surroundings on each side.
 NEAR, AROUND = 48, 200

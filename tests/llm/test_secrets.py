@@ -42,5 +42,15 @@ def test_novel_strings_are_reported_and_repeated_ones_are_not(docs_of):
     assert found == {1: "novel:14:54", 2: "", 3: ""}
 
 
+def test_long_keys_are_measured_whole(docs_of):
+    random.seed(9)
+    texts = {size: "Authorization: Bearer " + "".join(random.choices(string.ascii_letters + string.digits, k=size)) + " end"
+             for size in (256, 257, 300, 5000, 300_000)}
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of(list(texts.items()))).collect()}
+    assert found == {size: f"novel:22:{22 + size}" for size in texts}
+    repeated = "the bearer is " + "connection_pool_v2_" * 40
+    assert secrets.find_secrets(docs_of([(1, repeated)])).first()["spans"] == ""
+
+
 def test_an_empty_table(docs_of):
     assert secrets.find_secrets(docs_of([])).collect() == []
