@@ -11,6 +11,7 @@ band with one, so their signatures are not made.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -90,7 +91,7 @@ class Matcher:
         at = np.flatnonzero(np.isin(values, self.shingles))
         if not len(at):
             return []
-        found = []
+        found = set()
         spots = list(WORD.finditer(text.encode()))
         words = WORD.findall(_folded(text))
         for length in self.lengths:
@@ -105,21 +106,58 @@ class Matcher:
                 for i in near:
                     share = len(here & self.exact[i]) / len(self.exact[i])
                     if share >= CONTAINED:
-                        found.append((share, -len(self.exact[i]), i, start, min(start + length, len(words))))
-        # The best match of overlapping ones: the most contained, then the longest template, then the first.
-        kept: list[tuple] = []
-        for share, _, i, start, end in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3], f[4])):
-            first, last = self._extent(words, start, end, i)
-            if all(last <= a or first >= b for _, _, a, b in kept):
-                kept.append((i, share, first, last))
+                        found |= self._spans(words, start, min(start + length, len(words)), i)
+        kept = self._best(found)
         data = text.encode()
         place = lambda byte: len(data[:byte].decode())
-        return sorted((self.names[i], share, place(spots[a].start()), place(spots[b - 1].end())) for i, share, a, b in kept)
-
-    def _extent(self, words: list[bytes], start: int, end: int, i: int) -> tuple[int, int]:
-        """First and last word (excluded) of the template's shingles in a window."""
-        hits = [k for k in range(start, max(start + 1, end - WORDS + 1)) if tuple(words[k:k + WORDS]) in self.exact[i]]
-        return hits[0], min(hits[-1] + WORDS, len(words))
+        return sorted((self.names[i], share, place(spots[a].start()), place(spots[b - 1].end())) for a, b, i, share in kept)
+
+    def _spans(self, words: list[bytes], start: int, end: int, i: int) -> set[tuple[int, int, int, float]]:
+        """(first, last word excluded, template, containment) of each shortest span of a window that holds so and so many
+        of the template's shingles, for all numbers of them from ``CONTAINED`` on."""
+        hits = [(k, tuple(words[k:k + WORDS])) for k in range(start, max(start + 1, end - WORDS + 1))]
+        hits = [(k, shingle) for k, shingle in hits if shingle in self.exact[i]]
+        size, found = len(self.exact[i]), set()
+        for least in range(1, size + 1):
+            if least / size < CONTAINED:
+                continue
+            held: dict[tuple, int] = {}
+            left = 0
+            for k, shingle in hits:
+                held[shingle] = held.get(shingle, 0) + 1
+                while held[hits[left][1]] > 1 or len(held) > least:
+                    first = hits[left][1]
+                    held[first] -= 1
+                    if not held[first]:
+                        del held[first]
+                    left += 1
+                if len(held) == least:
+                    found.add((hits[left][0], min(k + WORDS, len(words)), i, least / size))
+        return found
+
+    def _best(self, found: set[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The spans without overlaps that together weigh most.
+
+        A span weighs the template's shingles it holds, less the more of the template it lacks and the more words it has
+        beyond the template's own. So a notice outweighs its variants, and two notices a span over parts of both.
+        """
+        spans = sorted(found, key=lambda f: (f[1], f[0], f[2], f[3]))
+        ends = [f[1] for f in spans]
+        total, taken = [0.0], [False]
+        for n, (first, last, i, share) in enumerate(spans):
+            size = len(self.exact[i])
+            weight = (share * size) ** 2 / (size + max(0, last - first - len(self.words[i])))
+            weight += total[bisect_right(ends, first, 0, n)]
+            taken.append(weight > total[n])
+            total.append(max(weight, total[n]))
+        kept, n = [], len(spans)
+        while n:
+            if taken[n]:
+                kept.append(spans[n - 1])
+                n = bisect_right(ends, spans[n - 1][0], 0, n - 1)
+            else:
+                n -= 1
+        return kept
 
 
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id",
@@ -127,7 +165,8 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """``doc_id, license, containment, start, end``: each notice found in each whole text, in code points.
 
     Null and empty texts and texts without a notice give no row; repeated rows give the same rows again; null ids stay; an
-    empty table gives no rows; extra columns are ignored. Of overlapping matches the best one is reported.
+    empty table gives no rows; extra columns are ignored. Overlaps are resolved
+    between the shortest spans that hold a notice, so notices side by side are each reported.
     """
     source = id_and_text(docs, id_col, text_col)
     schema = T.StructType([T.StructField("doc_id", source.schema["id"].dataType)]).add("license", "string").add(

@@ -32,3 +32,27 @@ def test_a_changed_long_notice_still_counts(docs_of):
     text = next(t for n, t in licenses.TEMPLATES if len(t) > 150 and n == "Apache-2.0").replace("express", "explicit")
     row = licenses.find_licenses(docs_of([(1, "word " * 40 + text)])).first()
     assert row["license"] == "Apache-2.0" and 0.8 <= row["containment"] < 1
+
+
+@pytest.mark.parametrize("names", [("CC-BY-4.0", "CC-BY-SA-4.0"), ("CC-BY-SA-4.0", "CC-BY-4.0"), ("GPL-2.0", "GPL-3.0"), ("GPL-3.0", "GPL-2.0"),
+                                   ("MIT",) * 3, ("GPL-2.0", "GPL-2.0", "GPL-3.0"), ("CC-BY-NC-4.0",) * 2])
+@pytest.mark.parametrize("between", ["", "and one more word"])
+def test_similar_notices_side_by_side(names, between):
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    text_of = {name: text for name, text in reversed(licenses.TEMPLATES)}
+    whole, places = "", []
+    for name in names:
+        places.append((name, 1.0, len(whole), len(whole) + len(text_of[name].rstrip("."))))
+        whole += f"{text_of[name]} {between} "
+    values, _ = licenses._shingle_list([licenses._folded(whole)])
+    assert sorted(matcher.matches(whole, values), key=lambda m: m[2]) == places
+
+
+def test_changed_copies_side_by_side():
+    words = next(t for n, t in licenses.TEMPLATES if len(t) > 150 and n == "MIT").split()
+    one, two = [*words], [*words]
+    one[8] = two[20] = "changed"
+    whole = " ".join(one + two)
+    values, _ = licenses._shingle_list([licenses._folded(whole)])
+    first, second = licenses.Matcher(licenses.TEMPLATES).matches(whole, values)
+    assert first[3] <= len(" ".join(one)) < second[2] + 1 and first[1] == second[1] >= 0.8
