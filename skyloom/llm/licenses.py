@@ -47,6 +47,98 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Standard headers and distinguishing passages.
+TEMPLATES += [
+    ("AGPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                "General Public License as published by the Free Software Foundation, either version 3 of the "
+                "License, or (at your option) any later version."),
+    ("AGPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                "General Public License as published by the Free Software Foundation, version 3 of the "
+                "License."),
+    ("AGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                "License version 3 as published by the Free Software Foundation"),
+    ("GPL-2.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation, either version 2 of the "
+               "License, or (at your option) any later version."),
+    ("GPL-2.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation, version 2 of the "
+               "License."),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License "
+               "version 2 as published by the Free Software Foundation"),
+    ("GPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation, either version 3 of the "
+               "License, or (at your option) any later version."),
+    ("GPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "General Public License as published by the Free Software Foundation, version 3 of the "
+               "License."),
+    ("GPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License "
+               "version 3 as published by the Free Software Foundation"),
+    ("LGPL-2.1", "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation, either version 2.1 of "
+                "the License, or (at your option) any later version."),
+    ("LGPL-2.1", "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation, version 2.1 of the "
+                "License."),
+    ("LGPL-2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License version 2.1 as published by the Free Software Foundation"),
+    ("LGPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation, either version 3 of the "
+                "License, or (at your option) any later version."),
+    ("LGPL-3.0", "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation, version 3 of the "
+                "License."),
+    ("LGPL-3.0", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License version 3 as published by the Free Software Foundation"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+                  "except in compliance with the License. You may obtain a copy of the License at "
+                  "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+                    "permitted provided that the following conditions are met: 1. Redistributions of source code "
+                    "must retain the above copyright notice, this list of conditions and the following "
+                    "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                    "this list of conditions and the following disclaimer in the documentation and/or other "
+                    "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "
+                    "AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+                    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                    "DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+                    "permitted provided that the following conditions are met: 1. Redistributions of source code "
+                    "must retain the above copyright notice, this list of conditions and the following "
+                    "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                    "this list of conditions and the following disclaimer in the documentation and/or other "
+                    "materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+                    "the names of its contributors may be used to endorse or promote products derived from this "
+                    "software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+                    "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+                    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+                    "PURPOSE ARE DISCLAIMED."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+           "without fee is hereby granted, provided that the above copyright notice and this permission "
+           "notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+           "software and associated documentation files (the \"Software\"), to deal in the Software "
+           "without restriction, including without limitation the rights to use, copy, modify, merge, "
+           "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+           "to whom the Software is furnished to do so, subject to the following conditions: The above "
+           "copyright notice and this permission notice shall be included in all copies or substantial "
+           "portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+               "copy of the MPL was not distributed with this file, You can obtain one at "
+               "http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to "
+                 "copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+                 "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+                 "means."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+               "neighboring rights to this software to the public domain worldwide. This software is "
+               "distributed without any warranty."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+]
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 

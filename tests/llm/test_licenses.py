@@ -56,3 +56,36 @@ def test_changed_copies_side_by_side():
     values, _ = licenses._shingle_list([licenses._folded(whole)])
     first, second = licenses.Matcher(licenses.TEMPLATES).matches(whole, values)
     assert first[3] <= len(" ".join(one)) < second[2] + 1 and first[1] == second[1] >= 0.8
+
+
+HEADER = """/* This {what} is free software{sign} you can redistribute it and/or
+ * modify it under the terms of the GNU {kind}General Public License
+ * as published by the Free Software Foundation; either version {version}
+ * of the License, or (at your option) any later version.
+ *
+ * This {what} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * {kind}General Public License for more details. */"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("name, text", [
+    *[(name, HEADER.format(kind=kind, version=version, what=what, sign=sign)) for name, kind, version in (
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+      for what in ("program", "library", "file is part of Skyloom. Skyloom") for sign in (";", ":")],
+    ("BSD-2-Clause", BSD.format(third="")), ("BSD-3-Clause", BSD.format(third=THIRD))])
+def test_standard_headers(name, text):
+    whole = f"int main;\n{text}\n#include more words here"
+    values, _ = licenses._shingle_list([licenses._folded(whole)])
+    assert [m[0] for m in licenses.Matcher(licenses.TEMPLATES).matches(whole, values)] == [name]
