@@ -36,15 +36,23 @@ CACHED_WORDS = 800_000
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 
 
+#: Words of more than ``LONG`` bytes are cut into stretches of ``STRETCH`` that share ``LONGEST - 1``, each a word: so no n-gram
+#: is lost, and what stands in a run of words or a script without blanks is diluted no more than among usual words.
+LONG, STRETCH = 62, 16
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(_FOLD).split()
+    words = text.encode().translate(_FOLD).split()
+    if all(len(w) <= LONG for w in words):
+        return words
+    step = STRETCH - LONGEST + 1
+    return [part for w in words for part in (
+        [w] if len(w) <= LONG else [w[i:i + STRETCH] for i in range(0, len(w) - LONGEST + 1, step)])]
 
 
 def subwords(word: bytes) -> list[int]:
-    """Table places of a word: itself and its n-grams, with marks at both ends. A very long word stands for itself."""
+    """Table places of a word: itself and its n-grams, with marks at both ends."""
     marked = b"<" + word + b">"
-    if len(marked) > 64:
-        return [zlib.crc32(marked) % BUCKETS]
     return [zlib.crc32(marked) % BUCKETS, *[zlib.crc32(marked[i:i + n]) % BUCKETS
             for n in range(SHORTEST, min(LONGEST, len(marked)) + 1) for i in range(len(marked) - n + 1)]]
 

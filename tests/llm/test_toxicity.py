@@ -44,6 +44,18 @@ def test_a_long_clean_text_does_not_hide_a_toxic_word(model):
     assert scorer.score(clean) < 0.7 <= scorer.score(clean + " grumblefoot snotgoblin " + clean)
 
 
+def test_words_run_together(model):
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("grumblefootsnotgoblin" * 5) >= 0.7
+    texts, labels = made(400, 2)
+    called = [(scorer.score(t.replace(" ", "")) >= 0.7, y) for t, y in zip(texts, labels)]
+    assert sum(c for c, y in called if y) >= 0.6 * sum(labels) and not sum(c for c, y in called if not y)
+    # Every n-gram of a long word lies within a stretch.
+    word = bytes(random.Random(1).choices(b"abcdefgh", k=301))
+    parts = toxicity.words_of(word.decode())
+    assert all(any(word[i:i + toxicity.LONGEST] in p for p in parts) for i in range(len(word) - toxicity.LONGEST + 1))
+
+
 def test_scores_do_not_depend_on_what_was_scored_before(model, monkeypatch):
     texts, _ = made(50, 4)
     whole = [toxicity.Scorer(model).score(t) for t in texts]
