@@ -18,6 +18,8 @@ HIDDEN = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*
 BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\b[^>]*>"
 TAG = r"<[^>]*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: A link: its address in double quotes, in single ones or without any.
+LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 SOURCE_TYPE = "application/http; msgtype=response"
 #: The date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -88,7 +90,7 @@ def derivatives(source: DataFrame) -> DataFrame:
         field("source-block-digest", F.col("block_digest")), field("source-payload-digest", F.col("payload_digest")),
         field("title", one_line(_first(html, r"(?is)<title[^>]*>(.*?)</title"))),
         field("language", _first(html, r'(?i)<html[^>]*\blang="([^"]*)"')),
-        field("outlinks", F.size(F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))).cast("string")))
+        field("outlinks", F.size(F.regexp_extract_all(html, F.lit(LINK), F.lit(0))).cast("string")))
     kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"),
                              metadata.alias("block")),
                     F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),

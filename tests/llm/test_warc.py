@@ -32,6 +32,12 @@ def test_records(spark):
     assert warc.build(pages(spark).limit(0)).collect() == []
 
 
+def test_links_in_all_forms_of_attribute_values(spark):
+    html = """<a href="/a">a</a> <a class=k href='/b'>b</a> <A HREF=/c>c</A> <a href = "/d" id=x>d</a> <a href=''>e</a> <a id="f">f</a>"""
+    rows = warc.build(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    assert "outlinks: 5\r\n" in rows.filter("record_type = 'metadata'").first()["block"]
+
+
 def test_files_read_back(spark, tmp_path):
     records = warc.build(pages(spark)).filter("page_id IS NOT NULL").dropDuplicates(["record_id"])
     warc.write_warc(records, str(tmp_path / "w"))
