@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, jaccard_join, licenses, nearest, packing, pii, secrets, toxicity, warc
+from skyloom.llm import alignment, bpe, exact_dedup, jaccard_join, licenses, nearest, packing, pii, secrets, toxicity, warc
 
 QUERIES: dict = {}
 
@@ -81,3 +81,9 @@ def warc_derivatives(spark, sf):
     return warc.build(table(spark, sf, "pages")).select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type",
         F.octet_length("block").cast("long").alias("content_length"), "payload_digest", "block_digest")
+
+
+@query("op13_cross_tokenizer")
+def cross_tokenizer(spark, sf):
+    return alignment.align_documents(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"),
+                                     vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
