@@ -57,3 +57,45 @@ UNION ALL
 SELECT page_id, record_type, {_identifier("'derived', record_type, refers_to, sha256(block)")}, refers_to, target_uri,
        '1970-01-01T00:00:00Z', content_type, strlen(block)::BIGINT, 'sha256:' || sha256(block), 'sha256:' || sha256(block) FROM m
 """
+
+
+def _nearest(name: str, centroids: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT r, vec_id, v, c, d FROM (
+    SELECT r, vec_id, kept.v AS v, c, list_sum([(kept.v[i] - {centroids}.v[i]) * (kept.v[i] - {centroids}.v[i]) for i in range(1, 65)]) AS d
+    FROM kept, {centroids}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+
+
+def _means(name: str, assigned: str, before: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS v FROM (
+    SELECT c, i, ((sum(v[i]) - ((sum(v[i]) % count(*) + count(*)) % count(*))) // count(*))::BIGINT AS m
+    FROM {assigned}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c
+    UNION ALL SELECT c, v FROM {before} WHERE c NOT IN (SELECT c FROM {assigned}))"""
+
+
+SQL["op12_centroid_clusters"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < 16),
+{_nearest("a0", "c0")}, {_means("c1", "a0", "c0")}, {_nearest("a1", "c1")}, {_means("c2", "a1", "c1")},
+{_nearest("a2", "c2")}, {_means("c3", "a2", "c2")}, {_nearest("a3", "c3")}
+SELECT vec_id, a3.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON a3.c = c3.c
+"""
+
+
+def _escaped(text: str) -> str:
+    return rf"regexp_replace({text}, '<(\\*)\|', '<\\\1|', 'g')"
+
+
+SQL["op11_chat_format"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, n, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length({_escaped("text")})
+           + length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import alignment, bpe, exact_dedup, jaccard_join, licenses, nearest, packing, pii, secrets, toxicity, warc
+from skyloom.llm import alignment, bpe, centroids, chat, exact_dedup, jaccard_join, licenses, nearest, packing, pii, secrets, toxicity, warc
 
 QUERIES: dict = {}
 
@@ -83,6 +83,19 @@ def warc_derivatives(spark, sf):
         F.octet_length("block").cast("long").alias("content_length"), "payload_digest", "block_digest")
 
 
+@query("op11_chat_format")
+def chat_format(spark, sf):
+    control = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_check(told.unionByName(more), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op12_centroid_clusters")
+def centroid_clusters(spark, sf):
+    return centroids.centroid_clusters(table(spark, sf, "embeddings"))
+
+
 @query("op13_cross_tokenizer")
 def cross_tokenizer(spark, sf):
     return alignment.align_documents(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"),
