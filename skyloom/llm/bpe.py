@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{L}+|\x20?\p{N}+|\x20?[^" + SPACE +
            + SPACE + r"]+(?![^" + SPACE + "])|[" + SPACE + "]+")
 #: Anything but single blanks and line ends between other characters.
 UNEVEN_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z").search
-#: Encoded pieces that a Python worker keeps, and the longest that it keeps.
-CACHED_PIECES, CACHED_LENGTH = 500_000, 48
+#: Stretches that are a word of letters whose class is the same in every Unicode version, and ASCII signs behind it.
+PLAIN_WORD = re.compile(r"([ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?").fullmatch
+#: Encoded stretches that a Python worker keeps in each of two generations, and the longest that it keeps.
+CACHED_PIECES, CACHED_LENGTH = 400_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,10 +79,11 @@ class Vocabulary:
         self.find_pieces = regex.compile(PATTERN).findall
         self.split_special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.decimal = list(map(str, range(size)))
         self.fits: dict[tuple[int, int], bool] = {}
-        self.decimal: dict[str, str] = {}
-        self.packed: dict[str, bytes] = {}
-        self.piece_ids: dict[str, list[int]] = {}
+        # Stretch -> packed and decimal ids. What is looked up moves to the young generation, so frequent ones are never lost.
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of ``left + right`` in rank order ends with these two tokens.
@@ -110,7 +114,7 @@ class Vocabulary:
         return good
 
     def encode_piece(self, piece: str) -> list[int]:
-        text = piece.encode().decode("latin-1")
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
         longest = [0] * len(text)
         for end, token in self.automaton.iter(text):  # ends rise, so the last token for a start is the longest
             longest[end - self.length[token] + 1] = token
@@ -147,34 +151,37 @@ class Vocabulary:
             return self.pieces(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _learn(self, stretches: set[str]) -> None:
-        for stretch in stretches:
-            ids: list[int] = []
+    def _encoded(self, stretch: str) -> tuple[bytes, str]:
+        word = PLAIN_WORD(stretch)
+        if word:
+            if word[2]:  # its parts are known more often than the whole
+                known, signs = self.young.get(word[1]) or self._encoded(word[1]), self._packed(self.encode_piece(word[2]))
+                return known[0] + signs[0], known[1] + "," + signs[1]
+            ids = self.encode_piece(stretch)
+        else:
+            ids = []
             for piece in self.pieces(stretch):
-                known = self.piece_ids.get(piece)
-                if known is None:
-                    known = [self.special[piece]] if piece in self.special else self.encode_piece(piece)
-                    if len(self.piece_ids) > CACHED_PIECES:
-                        self.piece_ids = {}
-                    if len(piece) <= CACHED_LENGTH:
-                        self.piece_ids[piece] = known
-                ids += known
-            self.packed[stretch] = np.array(ids, "<u4").tobytes()
-            self.decimal[stretch] = ",".join(map(str, ids))
+                ids += [self.special[piece]] if piece in self.special else self.encode_piece(piece)
+        return self._packed(ids)
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("I", ids).tobytes(), ",".join(map(self.decimal.__getitem__, ids))
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids of ``text``, and the same as decimal numbers joined by commas."""
         stretches = self.stretches(text)
-        new = {s for s in stretches if s not in self.packed}
-        if len(self.packed) + len(new) > CACHED_PIECES:
-            self.packed, self.decimal, new = {}, {}, set(stretches)
-        self._learn(new)
-        ids = np.frombuffer(b"".join(map(self.packed.__getitem__, stretches)), "<u4")
-        decimal = ",".join(map(self.decimal.__getitem__, stretches))
-        for stretch in new:
-            if len(stretch) > CACHED_LENGTH:
-                del self.packed[stretch], self.decimal[stretch]
-        return ids, decimal
+        found = list(map(self.young.get, stretches))
+        if None in found:
+            own: dict[str, tuple[bytes, str]] = {}
+            for i, known in enumerate(found):
+                if known is None:
+                    stretch = stretches[i]
+                    found[i] = known = own.get(stretch) or self.old.get(stretch) or self._encoded(stretch)
+                    own[stretch] = known
+            self.young.update((s, k) for s, k in own.items() if len(s) <= CACHED_LENGTH)
+            if len(self.young) > CACHED_PIECES:
+                self.young, self.old = {}, self.young
+        return np.frombuffer(b"".join([k[0] for k in found]), "<u4"), ",".join([k[1] for k in found])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ``ids``: the table's stretches, one after the other. A large array goes in blocks."""
