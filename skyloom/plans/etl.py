@@ -15,9 +15,10 @@ from skyloom.operators.airports import (
     extend_airport_defaults,
     rejected_airports,
 )
+from skyloom.operators.asof import as_of
 from skyloom.operators.delays import daily_delays
 from skyloom.operators.movements import build_aircraft, build_flights, clean_movements
-from skyloom.schemas import ORDER_COLUMNS
+from skyloom.schemas import SYNC_KEYS
 from skyloom.session import materialise
 from skyloom.sources.feeds import read_airport_feed, read_flight_feed
 from skyloom.sources.tables import (
@@ -37,52 +38,67 @@ def run_etl(
 ) -> FlightTables:
     """Load ``feed_root/airports`` and ``feed_root/flights`` into the tables under ``table_root``.
 
-    ``airports`` (codes), ``since`` and ``until`` (first and last ``ingest_seq``) choose what to load. The codes are folders
-    of the archive, so other airports' files are not opened. Airport documents are all read: they tell the defaults.
+    ``airports`` (codes), ``since`` and ``until`` (first and last ``ingest_seq``) choose what to load; in an archive, files of
+    other airports and syncs are not opened. Airport documents are all read: they tell the defaults and the state before ``since``.
     """
-    feed = read_flight_feed(spark, f"{feed_root}/flights", multi_line)
-    if airports is not None:
-        feed = feed.filter(F.col("airport_iata").isin(list(airports)))
-    if since is not None:
-        feed = feed.filter(F.col("ingest_seq") >= since)
-    if until is not None:
-        feed = feed.filter(F.col("ingest_seq") <= until)
+    feed = read_flight_feed(spark, f"{feed_root}/flights", multi_line, airports, since, until)
     return load_feed(feed, read_airport_feed(spark, f"{feed_root}/airports", multi_line), table_root)
 
 
+def sync_documents(syncs: DataFrame, airports: DataFrame) -> DataFrame:
+    """``airport_iata, ingest_seq, own_seq, own_doc, accepted`` of every sync (SYNC_KEYS) whose airport has a document at all.
+
+    A sync goes with the last airport document at or before it. The first document stands in for syncs before it, as feeds
+    may be stored in either order.
+    """
+    states = airports.select(F.col("iata_code").alias("airport_iata"), "ingest_seq", "doc_id", F.col("ingest_seq").alias("own_seq"),
+                             (F.size("missing") == 0).alias("accepted"))
+    found = as_of(syncs, states, "airport_iata", "ingest_seq", ["doc_id"], ["own_seq", "doc_id", "accepted"], or_first=True)
+    return found.filter("state IS NOT NULL").select(
+        *SYNC_KEYS, "state.own_seq", F.col("state.doc_id").alias("own_doc"), "state.accepted")
+
+
 def load_feed(feed: DataFrame, airport_docs: DataFrame, table_root: str, database: str | None = None) -> FlightTables:
-    """Load flight and airport documents; the result's ``skipped`` says which airports were left out, and why.
+    """Load flight and airport documents; the result's ``skipped`` says which airport documents were left out, and why.
 
-    An airport is skipped, with its flights, when its document lacks a column or when it has no
-    flights at all; the others load all the same. The cleaned rows are written once to the shared
+    Each sync is decided by its own airport document (``sync_documents``): where that lacks a column, or the airport has
+    none, the sync's flights are skipped, and an airport row is loaded only from documents that a sync with flights goes with.
+    The cleaned rows are written once to the shared
     folder, since three tables are made from them: the JSON is parsed once, each table then reads only
     its columns, and a lost executor costs a task and not the parse. The airport rows and defaults are
-    written too, so the planner knows their true size when it chooses the joins.
+    written too, so the planner knows their true size when it chooses the joins. Skipped syncs are few, so they are what
+    the cleaned rows are compared with.
     """
     spark = feed.sparkSession
     create_tables(spark, table_root)
     airports = materialise(build_airport(airport_docs))
     defaults = materialise(extend_airport_defaults(airport_defaults(spark), airports))
 
-    accepted = accepted_airports(airports)
-    flying = feed.filter(
-        (F.coalesce(F.size("arrivals"), F.lit(0)) > 0) | (F.coalesce(F.size("departures"), F.lit(0)) > 0)
-    )
-    codes = accepted.select(F.col("iata_code").alias("airport_iata")).distinct()
-    cleaned = materialise(clean_movements(flying.join(codes, "airport_iata", "left_semi"), defaults))
+    flying = feed.filter(F.col("airport_iata").isNotNull() & (
+        (F.coalesce(F.size("arrivals"), F.lit(0)) > 0) | (F.coalesce(F.size("departures"), F.lit(0)) > 0)))
+    everything = materialise(clean_movements(flying, defaults))
+    syncs = everything.select(*SYNC_KEYS).distinct()
+    decided = materialise(sync_documents(syncs, airports))
+    loaded = decided.filter("accepted")
+    skipped = materialise(syncs.join(loaded, [syncs[k].eqNullSafe(loaded[k]) for k in SYNC_KEYS], "left_anti"))
+    cleaned = everything.join(skipped, [everything[k].eqNullSafe(skipped[k]) for k in SYNC_KEYS], "left_anti")
 
-    active = cleaned.select(F.col("airport_iata").alias("iata_code")).distinct()
-    load_airports(accepted.join(active, "iata_code", "left_semi"), table_root, database)
+    used = loaded.select(F.col("airport_iata").alias("iata_code"), F.col("own_seq").alias("ingest_seq"),
+                         F.col("own_doc").alias("doc_id")).distinct()
+    load_airports(_only(accepted_airports(airports), used, "left_semi"), table_root, database)
     append_flights(build_flights(cleaned), table_root, database=database)
     insert_new_aircraft(build_aircraft(cleaned), table_root)
     append_delays(daily_delays(cleaned), table_root)
-    return replace(read_tables(spark, table_root), skipped=skipped_airports(airports, active))
+    return replace(read_tables(spark, table_root), skipped=skipped_airports(airports, used))
+
+
+def _only(airports: DataFrame, used: DataFrame, how: str) -> DataFrame:
+    return airports.join(used, [airports[k].eqNullSafe(used[k]) for k in ("iata_code", "ingest_seq", "doc_id")], how)
 
 
-def skipped_airports(airports: DataFrame, active: DataFrame) -> DataFrame:
+def skipped_airports(airports: DataFrame, used: DataFrame) -> DataFrame:
     """``iata_code, reason`` of each airport document that was not loaded: what it lacks, or that it has no flights."""
     lacking = rejected_airports(airports).select(
         "iata_code", F.concat(F.lit("missing: "), F.array_join("missing", ", ")).alias("reason"))
-    idle = accepted_airports(airports).join(active, "iata_code", "left_anti").select(
-        "iata_code", F.lit("no flight data").alias("reason"))
+    idle = _only(accepted_airports(airports), used, "left_anti").select("iata_code", F.lit("no flight data").alias("reason"))
     return lacking.unionByName(idle)

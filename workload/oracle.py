@@ -422,6 +422,27 @@ _FROM_AT = _ETL + _FILLED.format(
     dim="extended", where="""WHERE airport_iata IN (SELECT iata_code FROM docs WHERE missing = '')
         AND airport_iata IN ('LHR', 'SFO', 'C000030') AND ingest_seq BETWEEN 5 AND 20""")
 
+# Many documents for each airport: each sync goes with the last one at or before it, or else with the first.
+_HISTORY = f"""
+hist AS (
+    SELECT c_custkey * 7 % 27 AS ingest_seq, printf('%012d', c_custkey) AS doc_id, {_IATA.format('(c_custkey % 40)')} AS iata_code,
+        printf('K%06d', c_custkey % 40) AS icao_code, c_name AS name, c_mktsegment AS city, c_nationkey,
+        CASE WHEN c_custkey % 11 <> 5 THEN lower(c_mktsegment) END AS country_code,
+        c_custkey % 11 <> 5 AND c_custkey % 7 <> 3 AS accepted
+    FROM customer
+), known AS (
+    SELECT iata, icao, name, country_code FROM seeds
+    UNION ALL SELECT iata_code, icao_code, name, coalesce(country_code, '') FROM hist WHERE iata_code NOT IN (SELECT iata FROM seeds)
+    QUALIFY row_number() OVER (PARTITION BY iata_code ORDER BY ingest_seq, doc_id) = 1
+), decided AS (
+    SELECT s.airport_iata, s.ingest_seq, h.ingest_seq AS own_seq, h.doc_id AS own_doc, h.accepted
+    FROM (SELECT DISTINCT airport_iata, ingest_seq FROM timed) s JOIN hist h ON h.iata_code = s.airport_iata
+    QUALIFY row_number() OVER (PARTITION BY s.airport_iata, s.ingest_seq ORDER BY h.ingest_seq <= s.ingest_seq DESC,
+        CASE WHEN h.ingest_seq <= s.ingest_seq THEN -h.ingest_seq ELSE h.ingest_seq END, h.doc_id DESC) = 1
+), """
+_FROM_HISTORY = _ETL + _HISTORY + _FILLED.format(
+    dim="known", where="JOIN decided USING (airport_iata, ingest_seq) WHERE accepted")
+
 _IDS = "airport_iata, ingest_seq, doc_id, movement_type, pos"
 _FLIGHT_COLUMNS = """flight_number, aircraft_registration, origin_icao, origin_iata, origin_name, origin_country_code,
     destination_icao, destination_iata, destination_name, destination_country_code, scheduled_departure_utc,
@@ -485,6 +506,13 @@ def _etl() -> dict[str, str]:
         "t16_run_etl_airports": f"""{_FROM_ETL} SELECT icao_code, iata_code, name, city, country, continent, latitude,
             longitude, timezone FROM docs WHERE missing = '' AND iata_code IN (SELECT airport_iata FROM cleaned)""",
         "t16_run_etl_at": f"{_FROM_AT} SELECT {_FLIGHT_COLUMNS} FROM cleaned",
+        "t16_sync_documents": f"{_FROM_HISTORY} SELECT * FROM decided",
+        "t16_run_etl_resynced": f"{_FROM_HISTORY} SELECT {_FLIGHT_COLUMNS} FROM cleaned",
+        "t16_run_etl_resynced_airports": f"""{_FROM_HISTORY} SELECT icao_code, iata_code, name, city,
+            concat('Country ', c_nationkey) AS country, concat('Continent ', c_nationkey % 5) AS continent,
+            c_nationkey * 2.5::DOUBLE - 30 AS latitude, c_nationkey * 6.25::DOUBLE - 70 AS longitude, 'UTC' AS timezone
+            FROM hist WHERE (iata_code, ingest_seq, doc_id) IN (SELECT airport_iata, own_seq, own_doc FROM decided WHERE accepted)
+            QUALIFY row_number() OVER (PARTITION BY iata_code ORDER BY ingest_seq DESC, doc_id DESC) = 1""",
         "t16_run_etl_skipped": f"""{_FROM_ETL} SELECT iata_code, concat('missing: ', replace(missing, ',', ', ')) AS reason
             FROM docs WHERE missing <> ''
             UNION ALL SELECT iata_code, 'no flight data' FROM docs

@@ -224,10 +224,10 @@ def delay_summary(spark, sf):
     return D.daily_delays(_cleaned(spark, sf))
 
 
-def _archive(spark: SparkSession, sf: str) -> str:
+def _archive(spark: SparkSession, sf: str, airports: DataFrame | None = None) -> str:
     root = shared_dir(spark, "feeds")
-    feeds.archive_feed(T.feed(spark, sf), f"{root}/flights")
-    T.airport_json(spark, sf).select("json").write.text(f"{root}/airports")
+    feeds.archive_feed(T.feed(spark, sf), f"{root}/flights", syncs_per_folder=32)
+    (T.airport_json(spark, sf) if airports is None else airports).select("json").write.text(f"{root}/airports")
     return root
 
 
@@ -252,11 +252,30 @@ def run_etl_skipped(spark, sf):
     return etl.run_etl(spark, _archive(spark, sf), shared_dir(spark, "tables")).skipped
 
 
+@query("t16_sync_documents")
+def sync_documents(spark, sf):
+    """Which of its airport's many documents each sync goes with."""
+    docs = T.airport_history(spark, sf).selectExpr("ingest_seq", "doc_id", "parse_json(json) AS doc")
+    syncs = T.feed(spark, sf).filter("size(arrivals) + size(departures) > 0").select("airport_iata", "ingest_seq")
+    return etl.sync_documents(syncs, A.build_airport(docs))
+
+
+@query("t16_run_etl_resynced")
+def run_etl_resynced(spark, sf):
+    """Airports whose documents are accepted at one sync and rejected at another: flights are kept sync by sync."""
+    return etl.run_etl(spark, _archive(spark, sf, T.airport_history(spark, sf)), shared_dir(spark, "tables")).flights
+
+
+@query("t16_run_etl_resynced_airports")
+def run_etl_resynced_airports(spark, sf):
+    return _plain(etl.run_etl(spark, _archive(spark, sf, T.airport_history(spark, sf)), shared_dir(spark, "tables")).airport)
+
+
 # Sources and sinks.
 @query("s01_read_flight_feed")
 def read_flight_feed(spark, sf):
     path = shared_dir(spark, "feed")
-    feeds.archive_feed(T.feed(spark, sf), path)
+    feeds.archive_feed(T.feed(spark, sf), path, syncs_per_folder=32)
     return M.project_flights(M.normalise_movement(M.explode_feed(feeds.read_flight_feed(spark, path)))).drop(
         "movement_rank"
     )

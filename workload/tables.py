@@ -201,16 +201,19 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def airport_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Airport documents as JSON text: one per customer, some without a time zone or a country."""
+def airport_json(spark: SparkSession, sf_dir: str, airport: str = "c_custkey", sync: str = "c_custkey % 4") -> DataFrame:
+    """Airport documents as JSON text: one per customer, some without a time zone or a country.
+
+    ``airport`` and ``sync`` say whose document it is and at which sync.
+    """
     return table(spark, sf_dir, "customer").selectExpr(
-        "bigint(c_custkey % 4) AS ingest_seq",
+        f"bigint({sync}) AS ingest_seq",
         "lpad(c_custkey, 12, '0') AS doc_id",
         f"""to_json(struct(
-            bigint(c_custkey % 4) AS ingest_seq,
+            bigint({sync}) AS ingest_seq,
             lpad(c_custkey, 12, '0') AS doc_id,
-            'K' || lpad(c_custkey, 6, '0') AS icao,
-            {FEED_IATA.format("c_custkey")} AS iata,
+            'K' || lpad({airport}, 6, '0') AS icao,
+            {FEED_IATA.format(f"({airport})")} AS iata,
             c_name AS fullName,
             c_mktsegment AS municipalityName,
             CASE WHEN c_custkey % 11 <> 5 THEN named_struct('code', upper(c_mktsegment),
@@ -223,3 +226,8 @@ def airport_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def airport_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return airport_json(spark, sf_dir).selectExpr("ingest_seq", "doc_id", "parse_json(json) AS doc")
+
+
+def airport_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Airport documents as JSON text, many for each of the feed's 40 airports, at one sync or another."""
+    return airport_json(spark, sf_dir, "c_custkey % 40", "c_custkey * 7 % 27")
