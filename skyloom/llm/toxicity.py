@@ -3,8 +3,9 @@
 A word is the mean of the embeddings of its subwords: itself and its character n-grams, hashed to a fixed table. So an
 unseen misspelling shares most of its n-grams with words that were seen. A window of eight words is the mean of its
 words, fed to a linear softmax; embeddings and softmax are trained jointly in numpy on a bounded sample of
-labelled documents. Labels are per document: a document is as toxic as its windows together say, so a
-few words in a long text are not diluted.
+labelled documents. Labels are per document: its odds are a soft maximum over its windows, so a few words in a long text
+are not diluted, from which the logarithm of the number of windows is taken, so that length alone adds nothing. A
+word counts once in a document: saying it again is no further evidence, and a text repeated any number of times keeps its score.
 
 When the model is done, a subword's part in the two classes' difference is one number. Scoring needs only that table.
 """
@@ -36,25 +37,31 @@ CACHED_WORDS = 800_000
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 
 
-#: Words of more than ``LONG`` bytes are cut into stretches of ``STRETCH`` that share ``LONGEST - 1``, each a word: so no n-gram
-#: is lost, and what stands in a run of words or a script without blanks is diluted no more than among usual words.
-LONG, STRETCH = 62, 16
+#: Marked words of more than ``LONG`` bytes are cut into stretches of ``STRETCH`` that share ``LONGEST - 1``, each a word: so no
+#: n-gram is lost or made up, and what stands in a run of words or a script without blanks is diluted no more than among usual words.
+LONG, STRETCH = 64, 16
+#: Share of a word's subwords that must be known for it to count in full; random strings, of which hardly any are, count less.
+KNOWN_SHARE = 0.25
+#: The mean over a word's subwords is over so many at least, so that in a short word no single n-gram decides.
+LEAST_SUBWORDS = 12
+#: Windows up to which the soft maximum is hardly lowered.
+FREE_WINDOWS = 50
 
 
 def words_of(text: str) -> list[bytes]:
-    words = text.encode().translate(_FOLD).split()
-    if all(len(w) <= LONG for w in words):
-        return words
-    step = STRETCH - LONGEST + 1
-    return [part for w in words for part in (
-        [w] if len(w) <= LONG else [w[i:i + STRETCH] for i in range(0, len(w) - LONGEST + 1, step)])]
+    """The distinct words of ``text`` with marks at both ends, in the order in which they first stand."""
+    words = list(dict.fromkeys(text.encode().translate(_FOLD).split()))
+    step, parts = STRETCH - LONGEST + 1, []
+    for word in words:
+        word = b"<" + word + b">"
+        parts += [word] if len(word) <= LONG else [word[i:i + STRETCH] for i in range(0, len(word) - LONGEST + 1, step)]
+    return parts if len(parts) == len(words) else list(dict.fromkeys(parts))
 
 
 def subwords(word: bytes) -> list[int]:
-    """Table places of a word: itself and its n-grams, with marks at both ends."""
-    marked = b"<" + word + b">"
-    return [zlib.crc32(marked) % BUCKETS, *[zlib.crc32(marked[i:i + n]) % BUCKETS
-            for n in range(SHORTEST, min(LONGEST, len(marked)) + 1) for i in range(len(marked) - n + 1)]]
+    """Table places of a marked word: itself and its n-grams."""
+    return [zlib.crc32(word) % BUCKETS, *[zlib.crc32(word[i:i + n]) % BUCKETS
+            for n in range(SHORTEST, min(LONGEST, len(word)) + 1) for i in range(len(word) - n + 1)]]
 
 
 class Model(NamedTuple):
@@ -65,15 +72,18 @@ class Model(NamedTuple):
 
 
 def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    places = [subwords(w) for w in words]
-    sizes = np.array([len(p) for p in places], np.int64)
-    return np.fromiter((x for p in places for x in p), np.int64, int(sizes.sum())), sizes
+    """All words' table places in a row, and how many each has; held as lists for some thousand words at a time."""
+    places, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), 4096):
+        some = [subwords(w) for w in words[at:at + 4096]]
+        sizes.append(np.fromiter(map(len, some), np.int32, len(some)))
+        places.append(np.fromiter((x for p in some for x in p), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(places), np.concatenate(sizes)
 
 
-def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Means of consecutive runs of rows; ``sizes`` are positive."""
-    sums = np.add.reduceat(values, np.cumsum(sizes) - sizes, axis=0)
-    return sums / (sizes if values.ndim == 1 else sizes[:, None]).astype(values.dtype)
+def _weights(sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """What a word's sum over its subwords is multiplied by: their mean, lowered where few of them are known."""
+    return np.minimum(known / (KNOWN_SHARE * sizes), 1.0) / np.maximum(sizes, LEAST_SUBWORDS)
 
 
 def _document_counts(places: np.ndarray, sizes: np.ndarray, doc: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,7 +101,8 @@ def _document_counts(places: np.ndarray, sizes: np.ndarray, doc: np.ndarray, wor
 def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3, seed: int = 1) -> Model:
     """Embeddings and softmax, trained jointly by Adam on whole batches.
 
-    A document's odds are the sum of its windows' odds, so each step moves mostly the windows that say toxic loudest.
+    A document's odds are the sum of its windows' odds over their (smoothed) number, so each step moves mostly the windows
+    that say toxic loudest.
     """
     random = np.random.default_rng(seed)
     label = np.array(toxic, np.float32)
@@ -99,7 +110,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
         odds = (label.sum() + 1.0) / (len(label) - label.sum() + 1.0)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(odds)))
     known: dict[bytes, int] = {}
-    docs = [[known.setdefault(w, len(known)) for w in words_of(t)] or [known.setdefault(b"", len(known))] for t in texts]
+    docs = [[known.setdefault(w, len(known)) for w in words_of(t)] or [known.setdefault(b"<>", len(known))] for t in texts]
     places, sizes = _flat(list(known))
     spread = np.repeat(np.arange(len(sizes)), sizes)
     # Subwords of few documents say nothing; they keep the number 0 and count in the means.
@@ -108,6 +119,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     frequent = in_docs[places] >= max(LEAST_DOCS, LEAST_SHARE * len(docs))
     used, places = np.unique(places[frequent], return_inverse=True)
     spread = spread[frequent]
+    word_weight = _weights(sizes, np.bincount(spread, minlength=len(sizes))).astype(np.float32)
     words = np.concatenate([np.array(d, np.int64) for d in docs])
     window_sizes = np.concatenate([np.full(-(-len(d) // WINDOW), WINDOW) for d in docs])
     per_doc = np.array([-(-len(d) // WINDOW) for d in docs])
@@ -119,27 +131,27 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     softmax = (random.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32)
     bias = np.array([2.0, -2.0], np.float32)
     # Chance moves a subword's gradient by the root of its number of places; dividing by it leaves what is more than chance.
-    stands = np.bincount(places, np.bincount(words, minlength=len(sizes))[spread] / sizes[spread], len(used))
+    stands = np.bincount(places, (np.bincount(words, minlength=len(sizes)) * word_weight)[spread], len(used))
     chance = np.sqrt(stands + 1e-6)[:, None].astype(np.float32)
     moments = [np.zeros_like(p) for p in (table, softmax, bias)]
     scales = [0.0, 0.0, 0.0]
-    per_word = np.bincount(window_of, minlength=len(window_sizes)).astype(np.float32)
+    lowered = np.log1p((per_doc - 1) / FREE_WINDOWS).astype(np.float32)
     for step in range(1, rounds + 1):
         vectors = np.stack([np.bincount(spread, table[places, k], len(sizes)) for k in range(WIDTH)], axis=1)
-        vectors = (vectors / sizes[:, None]).astype(np.float32)
-        windows = _means(vectors[words], window_sizes)
+        vectors = vectors.astype(np.float32) * word_weight[:, None]
+        windows = np.add.reduceat(vectors[words], np.cumsum(window_sizes) - window_sizes, axis=0) / np.float32(WINDOW)
         odds = (windows @ softmax + bias) @ np.array([-1, 1], np.float32)
         top = np.maximum.reduceat(odds, starts)
         share = np.exp(odds - np.repeat(top, per_doc))
         total = np.add.reduceat(share, starts)
-        doc = top + np.log(total)
+        doc = top + np.log(total) - lowered
         miss = weight * (1 / (1 + np.exp(-doc)) - label)
         slope = np.repeat(miss / total, per_doc) * share
         both = np.stack([-slope, slope], axis=1)
-        to_word = (both @ softmax.T) / per_word[:, None]
+        to_word = (both @ softmax.T) / np.float32(WINDOW)
         # Back to the words and on to their subwords: sums over all places where each stands.
         to_vector = np.stack([np.bincount(words, to_word[window_of, k], len(sizes)) for k in range(WIDTH)], axis=1)
-        to_vector /= sizes[:, None]
+        to_vector *= word_weight[:, None]
         to_table = np.stack([np.bincount(places, to_vector[spread, k], len(used)) for k in range(WIDTH)], axis=1)
         grads = [to_table.astype(np.float32) / chance, windows.T @ both + 1e-5 * softmax, both.sum(axis=0)]
         for i, (value, grad) in enumerate(zip((table, softmax, bias), grads)):
@@ -165,25 +177,26 @@ class Scorer:
             if len(self.known) + len(new) > CACHED_WORDS:
                 self.known, new = {}, list(dict.fromkeys(words))
             places, sizes = _flat(new)
-            self.known.update(zip(new, _means(self.model.parts[places].astype(np.float64), sizes).tolist()))
+            parts = self.model.parts[places].astype(np.float64)
+            first = np.cumsum(sizes) - sizes
+            sums, known = np.add.reduceat(parts, first), np.add.reduceat((parts != 0).astype(np.int64), first)
+            self.known.update(zip(new, (sums * _weights(sizes, known)).tolist()))
         odds = np.zeros(1)
         if words:
             values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-            full = len(words) // WINDOW * WINDOW
-            odds = values[:full].reshape(-1, WINDOW).mean(axis=1)
-            if full < len(words):
-                odds = np.append(odds, values[full:].mean())
+            odds = np.add.reduceat(values, np.arange(0, len(words), WINDOW)) / WINDOW
         odds = odds + self.model.bias
         top = odds.max()
-        doc = top + np.log(np.exp(odds - top).sum())
+        doc = top + np.log(np.exp(odds - top).sum()) - np.log1p((len(odds) - 1) / FREE_WINDOWS)
         return float(1 / (1 + np.exp(-np.clip(doc, -500, 500))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    label_col: str = "toxic", per_class: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts and labels of each class, the first in a hashed order of their ids.
+                    label_col: str = "toxic", per_class: int = SAMPLE) -> DataFrame:
+    """``id, text, label`` of at most ``per_class`` documents of each class, the first in a hashed order of their ids.
 
-    ``labels`` should hold only rows that may be learnt from. An id labelled both ways counts as toxic.
+    ``labels`` should hold only rows that may be learnt from. An id labelled both ways counts as toxic; of an id's
+    texts the smallest is taken.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter(
         "id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -192,9 +205,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 * per_class ids and labels.
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "id").select("id", "text", "label").collect()
-    rows = sorted({(r["id"], r["text"], r["label"]) for r in rows})
-    return [(text, label) for _, text, label in rows]
+    return id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+          per_class: int = SAMPLE) -> Model:
+    """A model fitted on the labelled rows outside the held-out third.
+
+    One task fits it, on at most ``2 * per_class`` texts; the driver gets the table of ``BUCKETS`` numbers.
+    """
+    sample = labelled_sample(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col, label_col, per_class)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns])]
+        model = fit([text for text, _ in rows], [label for _, label in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.parts.tobytes()], pa.binary()), pa.array([model.bias])],
+                                         names=["parts", "bias"])
+
+    found = sample.repartition(1).sortWithinPartitions("id").select("text", "label").mapInArrow(
+        run, "parts binary, bias double").collect()
+    return Model(np.frombuffer(found[0]["parts"], np.float32), found[0]["bias"]) if found else fit([], [])
 
 
 def held_out(doc_id) -> F.Column:
@@ -229,15 +259,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     See ``labelled_sample`` and ``score_documents`` for odd rows. Without any usable label the score is 0.5.
     """
-    sample = labelled_sample(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col, label_col, per_class)
-    return score_documents(docs, fit([t for t, _ in sample], [y for _, y in sample]), id_col, text_col, threshold)
+    return score_documents(docs, learn(docs, labels, id_col, text_col, label_col, per_class), id_col, text_col, threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                label_col: str = "toxic", per_class: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``, with all their columns. Nothing is shuffled."""
-    sample = labelled_sample(docs, labels.filter(~held_out(labels[id_col])), id_col, text_col, label_col, per_class)
-    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [y for _, y in sample]))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, per_class))
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy with unseen misspellings, and odd rows."""
 
+import base64
+import math
 import random
 import zlib
 
@@ -85,3 +87,43 @@ def test_empty_tables(docs_of, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs_of([]), none).collect() == []
     assert [r["score"] for r in toxicity.toxicity(docs_of([(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
+
+
+def plain_score(model, text):
+    """The score by plain loops: windows of eight distinct words, their mean numbers, a soft maximum lowered by their number."""
+    words, seen = [], set()
+    for word in "".join(c if c.isalnum() or ord(c) >= 128 else " " for c in text).split():
+        word = b"<" + bytes(c | 32 if 65 <= c <= 90 else c for c in word.encode()) + b">"
+        long = len(word) > toxicity.LONG
+        for part in [word[i:i + 16] for i in range(0, len(word) - 5, 11)] if long else [word]:
+            if part not in seen:
+                seen.add(part)
+                words.append(part)
+    numbers = []
+    for word in words:
+        grams = [word] + [word[i:i + n] for n in range(3, 7) for i in range(len(word) - n + 1)]
+        parts = [float(model.parts[zlib.crc32(g) % toxicity.BUCKETS]) for g in grams]
+        known = sum(p != 0 for p in parts)
+        numbers.append(sum(parts) / max(len(parts), 12) * min(1, known / (0.25 * len(parts))))
+    windows = [sum(numbers[i:i + 8]) / 8 + model.bias for i in range(0, len(numbers), 8)] or [model.bias]
+    odds = math.log(sum(math.exp(w) for w in windows)) - math.log(1 + (len(windows) - 1) / 50)
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_scores_by_plain_loops(model):
+    scorer = toxicity.Scorer(model)
+    texts = made(60, 9)[0] + ["", "a", "Straße ÉTÉ 数据", "x" * 700, "grumblefoot " * 30, "co-di_fe ba'la"]
+    for text in texts:
+        assert abs(scorer.score(text) - plain_score(model, text)) < 1e-6
+
+
+def test_length_alone_decides_nothing(model):
+    scorer = toxicity.Scorer(model)
+    texts, labels = made(200, 6)
+    for text, toxic in zip(texts, labels):
+        assert scorer.score(" ".join([text] * 200)) == scorer.score(text)
+    clean = " ".join(made(400, 7)[0][i] for i in range(400) if i % 4)
+    assert scorer.score(clean) < 0.7
+    numbers = random.Random(1)
+    for size in (500, 30_000, 200_000):
+        assert not any(scorer.score(base64.b64encode(numbers.randbytes(size)).decode()) >= 0.7 for _ in range(5))
