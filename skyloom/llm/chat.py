@@ -51,15 +51,17 @@ def unescape_role(text: str) -> str:
 class Template:
     """Marks and pieces of the template as ids of a byte-level tokenizer; made once in a Python worker."""
 
-    def __init__(self, path: str):
-        self.tokenizer = byte_level(path)
+    def __init__(self, path: str, ranks: str | None = None):
+        self.tokenizer = byte_level(path, ranks)
         self.start, self.end = self.tokenizer.size, self.tokenizer.size + 1
         self.line = np.array(self.tokenizer.encode(["\n"])[0], np.int64)
 
     def format(self, roles: list[str], texts: list[str], learnt: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all turns in a row, their loss mask, and where each turn ends."""
         n = len(roles)
-        heads = self.tokenizer.encode([escape_role(r) for r in roles])
+        known = list(dict.fromkeys(roles))
+        known = dict(zip(known, self.tokenizer.encode([escape_role(r) for r in known])))
+        heads = [known[r] for r in roles]
         bodies = self.tokenizer.encode([escape(t) for t in texts])
         sizes = np.ones((n, 6), np.int64)  # start mark, role, line end, text, end mark, line end
         sizes[:, 1], sizes[:, 3] = list(map(len, heads)), list(map(len, bodies))
@@ -95,13 +97,13 @@ class Template:
         return unescape_role(role), unescape(text), bool(mask.any()), len(START) + len(inner) + len(END) + len(rest)
 
 
-_TEMPLATES: dict[str, Template] = {}
+_TEMPLATES: dict[tuple, Template] = {}
 
 
-def template(path: str) -> Template:
-    if path not in _TEMPLATES:
-        _TEMPLATES[path] = Template(path)
-    return _TEMPLATES[path]
+def template(*paths) -> Template:
+    if paths not in _TEMPLATES:
+        _TEMPLATES[paths] = Template(*paths)
+    return _TEMPLATES[paths]
 
 
 def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -109,9 +111,9 @@ def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
                      F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
-def format_turns(conversations: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text", learnt: tuple[str, ...] = LEARNT) -> DataFrame:
-    """``conv_id, turn, ids, mask`` of every row: a turn's tokens, and which of them are learnt from.
+def format_turns(conversations: DataFrame, path: str, ranks: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
+                 role_col: str = "role", text_col: str = "text", learnt: tuple[str, ...] = LEARNT) -> DataFrame:
+    """``conv_id, turn, ids, mask`` of every row: a turn's tokens, and which of them are learnt from. See ``ByteLevel`` for ``ranks``.
 
     Null roles and texts count as empty. A turn is formatted where its row lies; nothing is shuffled, so a conversation with a
     large share of all rows is no burden. Put turns one after the other for the whole conversation (``token_places``).
@@ -120,7 +122,7 @@ def format_turns(conversations: DataFrame, path: str, conv_col: str = "conv_id",
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = template(path)
+        own = template(path, ranks)
         for batch in portions(batches, text_at=3, most=PORTION):
             ids, mask, ends = own.format(batch.column(2).to_pylist(), batch.column(3).to_pylist(), learnt)
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
@@ -199,10 +201,10 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
-def conversation_check(conversations: DataFrame, path: str, **columns) -> DataFrame:
+def conversation_check(conversations: DataFrame, path: str, ranks: str | None = None, **columns) -> DataFrame:
     """Format every conversation, read it back from the tokens, and keep the digests of what came back.
 
     Null roles and texts count as empty; rows without a conversation id are one conversation; repeated rows are turns
     each; an empty table gives no rows; extra columns are ignored.
     """
-    return conversation_digests(read_turns(format_turns(conversations, path, **columns), path))
+    return conversation_digests(read_turns(format_turns(conversations, path, ranks, **columns), path))

@@ -88,7 +88,7 @@ def chat_format(spark, sf):
     control = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.conversation_check(told.unionByName(more), vocabulary("byte_bpe_50k.json"))
+    return chat.conversation_check(told.unionByName(more), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 @query("op12_centroid_clusters")

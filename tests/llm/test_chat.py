@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from skyloom.llm import chat
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "conv_id long, turn long, role string, text string, ids string, mask int, chars date"
 TEXTS = [None, "", " ", "hello", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "<|", "|>", "<<|", "a\nb\n", "\n",
          "<|endoftext|>", "é😀 ñ", "x" * 50_000, "word " * 20_000]
@@ -39,8 +39,9 @@ def test_digests_against_brute_force(spark):
     rows += [(50, 0, None, "no role"), (50, None, "user", "no number"), (50, 0, "assistant", "<"), (50, 1, "assistant", "\\|"),
              (51, 1, "a\nb\\<|", "role of two lines"), (51, 1, "a\nb\\<|", "role of two lines"), (None, 1, "user", "no id"),
              (None, 2, "assistant", "no id")]
-    got = chat.conversation_check(frame(spark, rows), PATH)
-    assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+    for ranks in (None, RANKS):
+        got = chat.conversation_check(frame(spark, rows), PATH, ranks)
+        assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
 
 
 def test_empty_table(spark):
