@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.components import components
 from skyloom.operators.dedupe import first_per_key
 from skyloom.schemas import AIRPORT, AIRPORT_DEFAULTS, AIRPORT_PATHS
 from skyloom.session import materialise
@@ -78,13 +80,12 @@ def upsert_airports(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     that row; its own codes are dropped. Any other row is inserted, and the rows after it in the same
     batch match against it too. NULL codes never match.
 
-    Documents are first reduced to one row per code pair. What remains unmatched is settled in rounds:
-    a row that comes first for both of its codes is inserted, the rows that share a code with it
-    update it. One round is enough unless the batch contradicts itself about which codes belong
-    together.
+    Documents are first reduced to one row per code pair. A pair that matches no stored row and shares its codes with no
+    other pair is inserted. What is left contradicts itself about which codes belong together: such pairs are gathered by
+    the codes that connect them, and each connected group is replayed in document order. The work and the tables written do not
+    depend on how long such a chain is.
     """
     keys, values = AIRPORT.names[:2], AIRPORT.names[2:]
-    codes = F.struct(*keys)
     coded = F.coalesce(*keys).isNotNull()
 
     pairs = (
@@ -98,31 +99,11 @@ def upsert_airports(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         .drop("doc")
     )
     stored = existing.filter(coded).select(*keys)
-    matched, unmatched = _match_by_code(pairs, stored)
-    changes, founders = [matched], []
-    unmatched = materialise(unmatched)
-    while not unmatched.isEmpty():
-        ranked = unmatched
-        for key in keys:
-            lead = unmatched.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias(f"lead_{key}"))
-            ranked = ranked.join(lead, key, "left")
-        leads = [F.col(key).isNull() | (F.col("place") == F.col(f"lead_{key}")) for key in keys]
-        ranked = ranked.withColumn("founds", leads[0] & leads[1]).drop(*[f"lead_{key}" for key in keys])
-        ranked = materialise(ranked)
-        founding = ranked.filter("founds").drop("founds")
-        matched, unmatched = _match_by_code(ranked.filter("NOT founds").drop("founds"), founding.select(*keys))
-        founders.append(founding)
-        changes += [founding.withColumn("target", codes), matched]
-        unmatched = materialise(unmatched)
-
-    updates = changes[0].select("target", "latest")
-    for more in changes[1:]:
-        updates = updates.unionByName(more.select("target", "latest"))
-    updates = updates.groupBy("target").agg(F.max("latest").alias("latest"))
-
-    rows = existing.select(*AIRPORT.names)
-    for founding in founders:
-        rows = rows.unionByName(founding.select(*keys, "latest.*").select(*AIRPORT.names))
+    settled = materialise(_settle(materialise(_match_by_code(pairs, stored))))
+
+    updates = settled.groupBy("target").agg(F.max("latest").alias("latest"))
+    rows = existing.select(*AIRPORT.names).unionByName(
+        settled.filter("founds").select(*keys, "latest.*").select(*AIRPORT.names))
     updated = rows.join(
         updates,
         F.col("icao_code").eqNullSafe(F.col("target.icao_code"))
@@ -135,12 +116,61 @@ def upsert_airports(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return updated.unionByName(incoming.filter(~coded).select(*AIRPORT.names))
 
 
-def _match_by_code(pairs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split ``pairs`` into those that hit a stored row (as ``target``) and the others."""
+def _settle(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with a ``target`` for all, and ``founds`` where a pair is that target's first row."""
+    keys = AIRPORT.names[:2]
+    matched = pairs.filter("target IS NOT NULL").withColumn("founds", F.lit(False))
+    new = pairs.filter("target IS NULL").drop("target")
+    for key in keys:
+        uses = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"uses_{key}"))
+        new = new.join(uses, key, "left")
+    shared = F.greatest(*[F.coalesce(f"uses_{key}", F.lit(0)) for key in keys]) > 1
+    new = materialise(new.select(*pairs.drop("target").columns, shared.alias("shared")))
+    codes = F.struct("icao_code", "iata_code")
+    plain = new.filter("NOT shared").drop("shared").withColumns({"target": codes, "founds": F.lit(True)})
+
+    # One node for each code; a pair with one code only is that code's node alone.
+    node = {key: F.concat(F.lit(f"{key[:4]}:"), F.col(key)) for key in keys}
+    disputed = new.filter("shared").drop("shared").withColumn("node", F.coalesce(*node.values()))
+    edges = disputed.select("node", F.coalesce(*reversed(node.values())).alias("other")).toDF("a", "b")
+    grouped = disputed.join(components(edges), "node").select("component", "place", *keys)
+    decided = grouped.groupBy("component").applyInPandas(
+        _replay, "icao_code string, iata_code string, target struct<icao_code:string,iata_code:string>, founds boolean")
+    same = [F.col(f"p.{key}").eqNullSafe(F.col(f"d.{key}")) for key in keys]
+    replayed = disputed.drop("node").alias("p").join(decided.alias("d"), same).select("p.*", "d.target", "d.founds")
+    return matched.unionByName(plain).unionByName(replayed)
+
+
+def _replay(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one connected group, one after the other: each finds a row by its IATA code, or else ICAO code, or founds one."""
+    rows = sorted(zip(group["place"], group["icao_code"], group["iata_code"]), key=lambda row: _order(row[0]))
+    by_iata: dict[str, tuple] = {}
+    by_icao: dict[str, tuple] = {}
+    out = []
+    for _, icao, iata in rows:
+        target = (by_iata.get(iata) if iata is not None else None) or (by_icao.get(icao) if icao is not None else None)
+        founds = target is None
+        if founds:
+            target = (icao, iata)
+            if icao is not None:
+                by_icao[icao] = target
+            if iata is not None:
+                by_iata[iata] = target
+        out.append((icao, iata, {"icao_code": target[0], "iata_code": target[1]}, founds))
+    return pd.DataFrame(out, columns=["icao_code", "iata_code", "target", "founds"])
+
+
+def _order(place) -> list:
+    """A place as Spark orders it: document, then codes; NULL first."""
+    parts = [*(place["doc"][key] for key in _DOC_KEYS), *(place[key] for key in AIRPORT.names[:2])]
+    return [(part is not None, part) if part is not None else (False,) for part in parts]
+
+
+def _match_by_code(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``pairs`` with the stored row that each one hits as ``target``."""
     found = pairs
     for key in ["iata_code", "icao_code"]:
         hit = stored.filter(F.col(key).isNotNull()).select(key, F.struct("icao_code", "iata_code").alias(f"by_{key}"))
         found = found.join(hit, key, "left")
     target = F.coalesce("by_iata_code", "by_icao_code")
-    found = found.withColumn("target", target).drop("by_iata_code", "by_icao_code")
-    return found.filter("target IS NOT NULL"), found.filter("target IS NULL").drop("target")
+    return found.withColumn("target", target).drop("by_iata_code", "by_icao_code")

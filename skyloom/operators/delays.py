@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +43,19 @@ def dedupe_codeshares(delays: DataFrame) -> DataFrame:
     return first_per_key(delays, ["sched_time", *SYNC_KEYS, "origin_name", "destination_name"], order)
 
 
-def daily_delays(cleaned: DataFrame) -> DataFrame:
-    """``compute_delays``, ``dedupe_codeshares`` and ``delay_summary`` in two shuffles.
+def daily_delays(cleaned: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    """``compute_delays``, ``dedupe_codeshares`` and ``delay_summary`` in two shuffles; ``more`` as in ``delay_summary``.
 
     Rows without a scheduled time belong to no day and go first. One dealing by sync and scheduled time then serves
     the dedupe, the counts and the distinct times, and splits a busy airport; the second shuffle carries counts
     to the day.
     """
     delays = compute_delays(cleaned).filter(F.col("sched_time").isNotNull())
-    return delay_summary(dedupe_codeshares(delays.repartition("sched_time", *SYNC_KEYS)))
+    return delay_summary(dedupe_codeshares(delays.repartition("sched_time", *SYNC_KEYS)), more)
 
 
-def delay_summary(flights: DataFrame) -> DataFrame:
-    """The ``airport_delays`` rows of each sync; rows without a scheduled time belong to no day.
+def delay_summary(flights: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    """The ``airport_delays`` rows of each sync, and the sync columns ``more``; rows without a scheduled time belong to no day.
 
     Mean and median look at positive delays only. Delays are first counted per distinct time and
     value, so the shuffle to (airport, day) carries counts, and the median's state is bounded by the
@@ -83,4 +85,5 @@ def delay_summary(flights: DataFrame) -> DataFrame:
         minutes(middle).alias("median_delay_min"),
         F.sum("n_canceled").alias("canceled_flight"),
     )
-    return per_day.select(*[F.col(f.name).cast(f.dataType) for f in AIRPORT_DELAYS])
+    return per_day.select(*[F.col(f.name).cast(f.dataType) for f in AIRPORT_DELAYS],
+                          *[c for c in more if c not in AIRPORT_DELAYS.names])

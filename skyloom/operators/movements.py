@@ -125,9 +125,9 @@ def clean_movements(feed: DataFrame, defaults: DataFrame) -> DataFrame:
     return derive_manufacturer(fill_airport_defaults(rows, defaults))
 
 
-def build_flights(df: DataFrame) -> DataFrame:
-    """The ``flights`` table's columns; codeshare listings stay separate rows."""
-    return sql_safe(df.select(*FLIGHTS.names))
+def build_flights(df: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    """The ``flights`` table's columns, and ``more``; codeshare listings stay separate rows."""
+    return sql_safe(df.select(*FLIGHTS.names, *more))
 
 
 def build_aircraft(df: DataFrame) -> DataFrame:

@@ -1,13 +1,19 @@
 """The four stored tables as Parquet under one root folder.
 
-``flights`` is partitioned by departure date. ``airport`` is rewritten by every load as a new
-``version`` folder and readers take the highest one, so a failed load leaves the old version in place.
+* ``airport`` is replaced as a whole by every load, as a committed version (``sources.versions``): a failed load leaves the
+  old version in place, and of two loads at once the slower one starts again from the faster one's rows.
+* ``flights`` (in folders by load and departure date) and ``airport_delays`` are appended to; which loads count stands
+  in the ledger (``sources.ledger``), with syncs that a later load replaced. ``compact`` merges small loads.
+* ``aircraft`` is bucketed by registration, so that new rows are compared with stored ones without shuffling these.
+
 Writes ask for a rebalance: adaptive execution then aims at full-size files and splits a partition
 value that holds much of the data over several tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import urllib.parse
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,15 +23,21 @@ from pyspark.sql import types as T
 
 from skyloom.operators.airports import upsert_airports
 from skyloom.operators.dedupe import first_per_key
-from skyloom.schemas import AIRCRAFT, AIRPORT, AIRPORT_DELAYS, FLIGHTS, ORDER_COLUMNS, TABLES, conform
+from skyloom.schemas import AIRCRAFT, AIRPORT, AIRPORT_DELAYS, FLIGHTS, ORDER_COLUMNS, SYNC_KEYS, TABLES, conform
+from skyloom.sources import ledger, versions
 
-_PARTITIONS = {
-    "flights": T.StructField("flight_date", T.DateType()),
-    "airport": T.StructField("version", T.LongType()),
+#: Columns of the tables that are stored by load, beside their own: which sync a row comes from, and the folders.
+_HIDDEN = {
+    "flights": [T.StructField("synced_airport", T.StringType()), T.StructField("ingest_seq", T.LongType())],
+    "airport_delays": [T.StructField("ingest_seq", T.LongType())],
 }
-
-
-_CATALOG_NAMES = {"airport": "airport_versions"}
+_FOLDERS = {
+    "flights": [T.StructField("load", T.StringType()), T.StructField("flight_date", T.DateType())],
+    "airport_delays": [T.StructField("load", T.StringType())],
+}
+_SYNCED = {"flights": "synced_airport", "airport_delays": "airport_iata"}
+#: Buckets of ``aircraft``. Fixed once a table is there: its files are named by bucket.
+AIRCRAFT_BUCKETS = 32
 
 
 @dataclass(frozen=True)
@@ -40,64 +52,106 @@ class FlightTables:
 
 
 def _stored_schema(table: str) -> T.StructType:
-    partition = _PARTITIONS.get(table)
-    return T.StructType(TABLES[table].fields + ([partition] if partition else []))
-
-
-def _write(df: DataFrame, root: str, table: str, mode: str) -> None:
-    partition = _PARTITIONS.get(table)
-    writer = df.write.mode(mode)
-    if partition:
-        writer = writer.partitionBy(partition.name)
-    writer.parquet(f"{root}/{table}")
+    return T.StructType(TABLES[table].fields + _HIDDEN[table] + _FOLDERS[table])
 
 
 def create_tables(spark: SparkSession, root: str, database: str | None = None) -> None:
     """Create the four tables if absent; with ``database`` also register them in the catalog.
 
-    The catalog's ``airport`` is a view of the newest version in ``airport_versions``. Give ``database`` to the
-    sinks too, so that what they add shows there at once.
+    There ``flights`` and ``airport_delays`` are views of the loads that count in ``flights_loads`` and ``delays_loads``, and
+    ``airport`` lies where its newest version does. Give ``database`` to the sinks too, so that what they add shows there
+    at once.
     """
-    for table in TABLES:
-        _write(spark.createDataFrame([], _stored_schema(table)), root, table, "ignore")
+    for table in _FOLDERS:
+        spark.createDataFrame([], _stored_schema(table)).write.mode("ignore").partitionBy(
+            *[f.name for f in _FOLDERS[table]]).parquet(f"{root}/{table}")
+    spark.createDataFrame([], ledger.SYNCS).write.mode("ignore").partitionBy("load").parquet(f"{root}/syncs")
+    _bucketed(spark, root)
+    if not versions.versions(spark, f"{root}/airport"):
+        try:
+            versions.commit(spark.createDataFrame([], AIRPORT), f"{root}/airport", 0)
+        except versions.Conflict:  # another session creates the tables too
+            pass
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-        for table in TABLES:
-            partition = _PARTITIONS.get(table)
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _stored_schema(table))
-            by = f"PARTITIONED BY (`{partition.name}`)" if partition else ""
-            spark.sql(
-                f"CREATE TABLE IF NOT EXISTS `{database}`.`{_CATALOG_NAMES.get(table, table)}` ({columns}) USING parquet {by} "
-                f"LOCATION '{root}/{table}'"
-            )
-        versions = f"`{database}`.`airport_versions`"
-        spark.sql(
-            f"CREATE VIEW IF NOT EXISTS `{database}`.`airport` AS SELECT {', '.join(AIRPORT.names)} FROM {versions} "
-            f"WHERE version = (SELECT max(version) FROM {versions})"
-        )
-        refresh_catalog(spark, database)
-
-
-def refresh_catalog(spark: SparkSession, database: str) -> None:
-    """Let the catalog see the partitions and files that were written under its tables since."""
-    for table in TABLES:
-        name = f"`{database}`.`{_CATALOG_NAMES.get(table, table)}`"
-        spark.sql(f"MSCK REPAIR TABLE {name}" if table in _PARTITIONS else f"REFRESH TABLE {name}")
-
-
-def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
+        for table in _FOLDERS:
+            by = ", ".join(f"`{f.name}`" for f in _FOLDERS[table])
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {_loads_table(database, table)} ({_columns(_stored_schema(table))}) USING parquet "
+                      f"PARTITIONED BY ({by}) LOCATION '{root}/{table}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`airport` ({_columns(AIRPORT)}) USING parquet "
+                  f"LOCATION '{versions.location(spark, f'{root}/airport')}'")
+        _bucketed(spark, root, f"`{database}`.`aircraft`")
+        for load in ledger.live(spark, root)[0]:
+            for table in _FOLDERS:
+                _add_partitions(spark, root, table, load, database)
+        refresh_catalog(spark, root, database)
+
+
+def _columns(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _loads_table(database: str, table: str) -> str:
+    return f"`{database}`.`{'flights_loads' if table == 'flights' else 'delays_loads'}`"
+
+
+def _bucketed(spark: SparkSession, root: str, name: str | None = None) -> str:
+    """The name under which the session's catalog knows the bucketed ``aircraft`` of ``root``. Only metadata is made."""
+    name = name or f"`aircraft_{hashlib.md5(root.encode()).hexdigest()}`"
+    files, path, _ = versions.files_of(spark, f"{root}/aircraft")
+    files.mkdirs(path)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_columns(AIRCRAFT)}) USING parquet "
+              f"CLUSTERED BY (aircraft_registration) INTO {AIRCRAFT_BUCKETS} BUCKETS LOCATION '{root}/aircraft'")
+    spark.catalog.refreshTable(name.replace("`", ""))
+    return name
+
+
+def _add_partitions(spark: SparkSession, root: str, table: str, load: str, database: str) -> None:
+    """Tell the catalog the folders of one load, from a listing of that load's folder alone."""
+    specs = [f"load='{load}'"]
+    if table == "flights":
+        files, folder, _ = versions.files_of(spark, f"{root}/{table}/load={load}")
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        dates = [urllib.parse.unquote(n.split("=", 1)[1]) for n in names if n.startswith("flight_date=")]
+        specs = [f"load='{load}', flight_date=" + ("null" if d.startswith("__HIVE") else f"DATE'{d}'") for d in dates]
+    for at in range(0, len(specs), 200):
+        spark.sql(f"ALTER TABLE {_loads_table(database, table)} ADD IF NOT EXISTS "
+                  + " ".join(f"PARTITION ({spec})" for spec in specs[at:at + 200]))
+
+
+def refresh_catalog(spark: SparkSession, root: str, database: str) -> None:
+    """Let the catalog's views follow the ledger, and its other tables the files under them."""
+    loads, gone = ledger.live(spark, root)
+    folder = versions.location(spark, f"{root}/loads")
+    for table in _FOLDERS:
+        which = ", ".join(f"'{load}'" for load in loads) or "''"
+        hidden = "" if gone is None else (
+            f" AND NOT EXISTS (SELECT 1 FROM parquet.`{folder}` g WHERE g.gone AND g.load = t.load "
+            f"AND g.airport_iata <=> t.{_SYNCED[table]} AND g.ingest_seq <=> t.ingest_seq)")
+        columns = ", ".join(f"t.`{c}`" for c in TABLES[table].names)
+        spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{table}` AS SELECT {columns} FROM {_loads_table(database, table)} t "
+                  f"WHERE t.load IN ({which}){hidden}")
+    spark.sql(f"ALTER TABLE `{database}`.`airport` SET LOCATION '{versions.location(spark, f'{root}/airport')}'")
+    for table in ("airport", "aircraft"):
+        spark.catalog.refreshTable(f"{database}.{table}")
+
+
+def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(_stored_schema(table)).parquet(f"{root}/{table}")
 
 
+def _counted(spark: SparkSession, root: str, table: str, live: tuple | None = None) -> DataFrame:
+    return ledger.counted(_stored(spark, root, table), *(live or ledger.live(spark, root)), _SYNCED[table])
+
+
 def read_tables(spark: SparkSession, root: str, views: bool = False) -> FlightTables:
     """The stored tables; ``views`` also makes them the session's temporary views for ``spark.sql``."""
-    versions = _read(spark, root, "airport")
-    newest = versions.agg(F.max("version")).scalar()
+    live = ledger.live(spark, root)
     frames = {
-        "airport": versions.filter(F.col("version") == newest).select(*AIRPORT.names),
-        "flights": _read(spark, root, "flights").select(*FLIGHTS.names),
-        "aircraft": _read(spark, root, "aircraft"),
-        "airport_delays": _read(spark, root, "airport_delays"),
+        "airport": versions.read(spark, f"{root}/airport", AIRPORT),
+        "flights": _counted(spark, root, "flights", live).select(*FLIGHTS.names),
+        "aircraft": spark.read.schema(AIRCRAFT).parquet(f"{root}/aircraft"),
+        "airport_delays": _counted(spark, root, "airport_delays", live).select(*AIRPORT_DELAYS.names),
     }
     if views:
         for name, frame in frames.items():
@@ -106,15 +160,12 @@ def read_tables(spark: SparkSession, root: str, views: bool = False) -> FlightTa
 
 
 def load_airports(incoming: DataFrame, root: str, database: str | None = None) -> None:
-    """Upsert airport rows and write the result as the next version."""
+    """Upsert airport rows and commit the result as the next version, on top of whatever was committed meanwhile."""
     spark = incoming.sparkSession
-    existing = read_tables(spark, root).airport
-    merged = upsert_airports(existing, conform_keyed(incoming))
-    last = _read(spark, root, "airport").agg(F.max("version")).first()[0] or 0
-    version = F.lit(last + 1).cast("long").alias("version")
-    _write(conform(merged, AIRPORT).select("*", version), root, "airport", "append")
+    versions.replace(spark, f"{root}/airport", AIRPORT,
+                     lambda existing: conform(upsert_airports(existing, conform_keyed(incoming)), AIRPORT))
     if database:
-        refresh_catalog(spark, database)
+        refresh_catalog(spark, root, database)
 
 
 def conform_keyed(incoming: DataFrame) -> DataFrame:
@@ -125,55 +176,112 @@ def conform_keyed(incoming: DataFrame) -> DataFrame:
 
 
 def _stored_rows(df: DataFrame, schema: T.StructType, cut_text: bool) -> tuple[DataFrame, list]:
-    """``df`` in stored types and widths, with the order columns it has, and the order that says which row is first."""
+    """``df`` in stored types and widths, with the order and sync columns it has, and the order that says which row is first."""
     order = [c for c in ORDER_COLUMNS if c in df.columns]
-    more = [c for c in order if c not in schema.names]
+    more = [c for c in dict.fromkeys([*order, *SYNC_KEYS]) if c in df.columns and c not in schema.names]
     kept = T.StructType(schema.fields + [df.schema[c] for c in more])
     return conform(df, kept, cut_text), [F.col(c).asc_nulls_first() for c in order or schema.names]
 
 
+def _hidden(rows: DataFrame, table: str) -> list:
+    """The stored columns of a row's sync: NULL where ``rows`` does not tell it."""
+    sources = {"synced_airport": "airport_iata", "ingest_seq": "ingest_seq"}
+    return [(F.col(sources[f.name]) if sources[f.name] in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in _HIDDEN[table]]
+
+
 def append_flights(
     df: DataFrame, root: str, dedupe_keys: Sequence[str] | None = None, cut_text: bool = False,
-    database: str | None = None,
+    database: str | None = None, load: str | None = None,
 ) -> None:
     """Append flight rows.
 
     Loading the same rows twice stores them twice, as nothing in the table is unique. With
     ``dedupe_keys`` only rows with unseen keys are added, the first of each; NULL keys are equal. Text is
     stored whole; ``cut_text`` cuts it to the columns' widths, before keys are compared. Where the
-    departure time is a key, only the stored dates of the batch are read.
+    departure time is a key, only the stored dates of the batch are read. With ``load`` the rows are part of a load that the
+    caller commits; else they count at once.
     """
+    spark, table, own = df.sparkSession, "flights", load or ledger.new_load()
     rows, order = _stored_rows(df, FLIGHTS, cut_text)
     departure_date = F.col("scheduled_departure_utc").cast("date")
     if dedupe_keys:
         rows = first_per_key(rows, dedupe_keys, order)
-        stored = _read(df.sparkSession, root, "flights")
+        stored = _counted(spark, root, table)
         seen = stored.select(*[F.col(k).alias(f"seen_{k}") for k in dedupe_keys], "flight_date")
         same = [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in dedupe_keys]
         if "scheduled_departure_utc" in dedupe_keys:
             same.append(departure_date.eqNullSafe(F.col("flight_date")))
         rows = rows.join(seen, same, "left_anti")
-    dated = rows.select(*FLIGHTS.names).withColumn("flight_date", departure_date)
-    _write(dated.hint("rebalance", "flight_date"), root, "flights", "append")
+    dated = rows.select(*FLIGHTS.names, *_hidden(rows, table), F.lit(own).alias("load"), departure_date.alias("flight_date"))
+    dated.hint("rebalance", "flight_date").write.mode("append").partitionBy("load", "flight_date").parquet(f"{root}/{table}")
+    _done(spark, root, table, own, load, database)
+
+
+def _done(spark: SparkSession, root: str, table: str, own: str, load: str | None, database: str | None) -> None:
+    if not load:
+        ledger.commit_load(spark, root, own)
     if database:
-        refresh_catalog(df.sparkSession, database)
+        _add_partitions(spark, root, table, own, database)
+        if not load:
+            refresh_catalog(spark, root, database)
 
 
 def insert_new_aircraft(df: DataFrame, root: str, cut_text: bool = False) -> None:
     """Append aircraft whose registration is not stored yet, the first row of each; stored rows stay as they are."""
+    spark = df.sparkSession
     rows, order = _stored_rows(df, AIRCRAFT, cut_text)
     rows = first_per_key(rows, ["aircraft_registration"], order)
-    new = new_aircraft(_read(df.sparkSession, root, "aircraft"), rows)
-    _write(new.hint("rebalance"), root, "aircraft", "append")
+    stored = _bucketed(spark, root)
+    new_aircraft(spark.table(stored), rows).write.insertInto(stored)
 
 
 def new_aircraft(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The ``incoming`` rows (one per registration) with an unseen registration."""
-    return incoming.join(existing.select("aircraft_registration"), "aircraft_registration", "left_anti").select(
-        *AIRCRAFT.names
-    )
+    """The ``incoming`` rows (one per registration) with an unseen registration, dealt out as the stored buckets are.
+
+    So only the incoming rows are shuffled to meet the stored ones, and each bucket gets one file.
+    """
+    dealt = incoming.repartition(AIRCRAFT_BUCKETS, "aircraft_registration")
+    return dealt.join(existing.select("aircraft_registration"), "aircraft_registration", "left_anti").select(*AIRCRAFT.names)
 
 
-def append_delays(df: DataFrame, root: str, cut_text: bool = False) -> None:
-    """Append delay summary rows; a repeated sync adds its rows again."""
-    _write(conform(df, AIRPORT_DELAYS, cut_text).hint("rebalance"), root, "airport_delays", "append")
+def append_delays(df: DataFrame, root: str, cut_text: bool = False, database: str | None = None, load: str | None = None) -> None:
+    """Append delay summary rows; a repeated sync adds its rows again. See ``append_flights`` for ``load``."""
+    spark, table, own = df.sparkSession, "airport_delays", load or ledger.new_load()
+    rows, _ = _stored_rows(df, AIRPORT_DELAYS, cut_text)
+    rows.select(*AIRPORT_DELAYS.names, *_hidden(rows, table), F.lit(own).alias("load")).hint("rebalance").write.mode(
+        "append").partitionBy("load").parquet(f"{root}/{table}")
+    _done(spark, root, table, own, load, database)
+
+
+def compact(spark: SparkSession, root: str, small: int = 64 << 20, database: str | None = None, remove: bool = True) -> list[str]:
+    """Merge the loads whose files are smaller than ``small`` bytes on average into one, without rows that no longer count.
+
+    Returns the loads merged. File sizes come from a listing; file contents are not read for it. Readers that began before keep
+    their files only with ``remove=False``, which leaves the old folders in place.
+    """
+    loads, gone = ledger.live(spark, root)
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(
+        f"{root}/flights").select(F.regexp_extract("path", "/load=([^/]+)/", 1).alias("load"), "length")
+    stale = {r["load"] for r in gone.select("load").distinct().collect()} if gone is not None else set()
+    average = {r["load"]: r["size"] for r in sizes.groupBy("load").agg(F.avg("length").alias("size")).collect()}
+    merged = [x for x in loads if x in stale or average.get(x, 0) < small]
+    if len(merged) < 2 and not stale:
+        return []
+    own, some = ledger.new_load(), (merged, gone)
+    _counted(spark, root, "flights", some).withColumn("load", F.lit(own)).hint("rebalance", "flight_date").write.mode(
+        "append").partitionBy("load", "flight_date").parquet(f"{root}/flights")
+    _counted(spark, root, "airport_delays", some).withColumn("load", F.lit(own)).hint("rebalance").write.mode(
+        "append").partitionBy("load").parquet(f"{root}/airport_delays")
+    ledger.record_syncs(ledger.counted(ledger.syncs(spark, root, merged), merged, gone, "airport_iata"), root, own)
+    ledger.merge_loads(spark, root, merged, own, gone)
+    if database:
+        for table in _FOLDERS:
+            _add_partitions(spark, root, table, own, database)
+        refresh_catalog(spark, root, database)
+    if remove:
+        for table in (*_FOLDERS, "syncs"):
+            for load in merged:
+                files, folder, _ = versions.files_of(spark, f"{root}/{table}/load={load}")
+                files.delete(folder, True)
+    return merged

@@ -293,6 +293,9 @@ def _reports() -> dict[str, str]:
             strftime(scheduled_arrival_utc, '%Y-%m-%d %H:%M:%S') AS scheduled_arrival_utc,
             strftime(actual_arrival_utc, '%Y-%m-%d %H:%M:%S') AS actual_arrival_utc,
             CASE WHEN status <> 'Canceled' THEN 1.5::DOUBLE END AS weight FROM flights""",
+        "s05_clustered_flights_at": _TOP_ORIGINS.format(where=_TO),
+        "s05_compact_flights": """SELECT origin_iata, destination_iata, count(*) AS flights, count(actual_arrival_utc) AS arrived,
+            min(scheduled_departure_utc) AS first FROM flights GROUP BY ALL""",
         "s03_read_tables": """
             SELECT o.country, a.aircraft_manufacturer, count(*) AS listings, count(f.actual_departure_utc) AS departed,
                 min(f.scheduled_departure_utc) AS first_departure
@@ -521,6 +524,16 @@ def _etl() -> dict[str, str]:
         "s02_read_airport_feed": f"""{_FROM_RAW} SELECT ingest_seq, doc_id, iata_code AS iata, name AS full_name,
             upper(country_code) AS country_code, latitude AS lat, timezone AS time_zone FROM docs""",
         "s04_upsert_airports": _UPSERT,
+        "t16_run_etl_replaced": f"{_FROM_ETL} SELECT {_FLIGHT_COLUMNS} FROM cleaned",
+        # Every second document of a chain founds a row, and the one after it changes that row.
+        "s04_upsert_airports_chains": """
+            WITH d AS (SELECT *, (c_custkey - 1) // 200 AS chain, (c_custkey - 1) % 200 AS i FROM customer)
+            SELECT concat('K', f.chain, '-', (f.i + 1) // 2) AS icao_code, concat('A', f.chain, '-', f.i // 2) AS iata_code,
+                coalesce(u.c_name, f.c_name) AS name, coalesce(u.c_mktsegment, f.c_mktsegment) AS city,
+                concat('Country ', coalesce(u.c_nationkey, f.c_nationkey)) AS country, 'None' AS continent,
+                coalesce(u.c_nationkey, f.c_nationkey)::DOUBLE AS latitude, coalesce(u.c_nationkey, f.c_nationkey)::DOUBLE AS longitude,
+                'UTC' AS timezone
+            FROM d f LEFT JOIN d u ON u.chain = f.chain AND u.i = f.i + 1 WHERE f.i % 2 = 0""",
         "s05_append_flights": f"""{_FROM_RAW} SELECT {_FLIGHT_COLUMNS} FROM cleaned
             UNION ALL SELECT {_FLIGHT_COLUMNS} FROM cleaned""",
         "s05_append_flights_deduped": f"""{_FROM_RAW} SELECT {_FLIGHT_COLUMNS} FROM cleaned

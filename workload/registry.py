@@ -14,7 +14,7 @@ from skyloom.operators import movements as M
 from skyloom.plans import airlines, display, etl, fleet, network, operations, routes
 from skyloom.schemas import TIME_COLUMNS
 from skyloom.session import materialise, shared_dir
-from skyloom.sources import feeds, tables as stored
+from skyloom.sources import feeds, layout, tables as stored
 from workload import tables as T
 
 QUERIES: dict = {}
@@ -271,6 +271,15 @@ def run_etl_resynced_airports(spark, sf):
     return _plain(etl.run_etl(spark, _archive(spark, sf, T.airport_history(spark, sf)), shared_dir(spark, "tables")).airport)
 
 
+@query("t16_run_etl_replaced")
+def run_etl_replaced(spark, sf):
+    """Some airports' syncs loaded twice, then all of them once more in place of what is stored: one copy of each."""
+    feed, root = _archive(spark, sf), shared_dir(spark, "tables")
+    for airports, repeat in ((["LHR", "SFO", "C000030"], "append"), (["LHR", "C000030"], "append"), (None, "replace")):
+        loaded = etl.run_etl(spark, feed, root, airports=airports, repeat=repeat)
+    return loaded.flights
+
+
 # Sources and sinks.
 @query("s01_read_flight_feed")
 def read_flight_feed(spark, sf):
@@ -342,6 +351,20 @@ def upsert_airports(spark, sf):
     return _plain(stored.read_tables(spark, root).airport)
 
 
+@query("s04_upsert_airports_chains")
+def upsert_airports_chains(spark, sf):
+    """Documents that contradict each other about which codes belong together, in chains of 200."""
+    docs = T.table(spark, sf, "customer").selectExpr("*", "(c_custkey - 1) div 200 AS chain", "(c_custkey - 1) % 200 AS i").selectExpr(
+        "1L AS ingest_seq", "lpad(c_custkey, 12, '0') AS doc_id",
+        "'K' || chain || '-' || (i + 1) div 2 AS icao_code", "'A' || chain || '-' || i div 2 AS iata_code",
+        "c_name AS name", "c_mktsegment AS city", "'Country ' || c_nationkey AS country", "'None' AS continent",
+        "CAST(c_nationkey AS DECIMAL(10, 8)) AS latitude", "CAST(c_nationkey AS DECIMAL(11, 8)) AS longitude", "'UTC' AS timezone")
+    root = shared_dir(spark, "tables")
+    stored.create_tables(spark, root)
+    stored.load_airports(docs, root)
+    return _plain(stored.read_tables(spark, root).airport)
+
+
 def _loaded_twice(spark: SparkSession, sf: str, dedupe_keys=None) -> DataFrame:
     root = shared_dir(spark, "tables")
     stored.create_tables(spark, root)
@@ -361,6 +384,26 @@ def append_flights_deduped(spark, sf):
     return _loaded_twice(spark, sf, ["flight_number", "scheduled_departure_utc"])
 
 
+@query("s05_compact_flights")
+def compact_flights(spark, sf):
+    """Flights appended in five small loads, then merged into one."""
+    root, flights = shared_dir(spark, "tables"), T.flights(spark, sf)
+    stored.create_tables(spark, root)
+    for part in range(5):
+        stored.append_flights(flights.filter(F.pmod(F.dayofyear("scheduled_departure_utc"), F.lit(5)) == part), root)
+    stored.compact(spark, root)
+    return stored.read_tables(spark, root).flights.groupBy("origin_iata", "destination_iata").agg(
+        F.count("*").alias("flights"), F.count("actual_arrival_utc").alias("arrived"), F.min("scheduled_departure_utc").alias("first"))
+
+
+@query("s05_clustered_flights_at")
+def clustered_flights_at(spark, sf):
+    """The flights of one airport, from the copy that is clustered by both ends."""
+    path = shared_dir(spark, "clustered")
+    layout.write_clustered(T.flights(spark, sf), path)
+    return operations.top_origins(layout.read_clustered(spark, path), AT)
+
+
 @query("s06_insert_new_aircraft")
 def insert_new_aircraft(spark, sf):
     root = shared_dir(spark, "tables")
