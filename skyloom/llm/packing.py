@@ -26,8 +26,8 @@ from skyloom.llm.common import id_and_text, partitions, portions, staged, texts_
 
 CAPACITY = 4096
 END_ID = 1
-#: Encoded words that a Python worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 1_000_000
+#: Encoded words that a Python worker keeps in each of two generations, some 200 bytes each.
+CACHED_WORDS = 300_000
 
 
 class WordIds:
@@ -45,7 +45,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.fold, self.limit, self.known = fold, limit, {}
+        # What is looked up moves to the young generation, so frequent words are never lost.
+        self.fold, self.limit, self.known, self.old = fold, limit, {}, {}
 
     def pack(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -53,7 +54,11 @@ class WordIds:
             words = (data.lower() if self.fold and b"<|" not in data else data).split()
             new = [w for w in dict.fromkeys(words) if w not in self.known]
             if len(self.known) + len(new) > self.limit:
-                self.known, new = {}, list(dict.fromkeys(words))
+                self.known, self.old, new = {}, self.known, list(dict.fromkeys(words))
+            if self.old and new:
+                seen = [w for w in new if w in self.old]
+                self.known.update(zip(seen, map(self.old.__getitem__, seen)))
+                new = [w for w in new if w not in self.old]
             for at in range(0, len(new), 10_000):
                 some = new[at:at + 10_000]
                 for word, code in zip(some, self.tokenizer.encode_batch_fast(
