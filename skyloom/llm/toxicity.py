@@ -31,7 +31,8 @@ SAMPLE = 1000
 #: Documents of the sample, and share of them, that a subword must stand in.
 LEAST_DOCS, LEAST_SHARE = 3, 0.01
 THRESHOLD = 0.7
-CACHED_WORDS = 800_000
+#: Words whose numbers a task keeps in each of two generations.
+CACHED_WORDS = 250_000
 
 # ASCII letters are lower-cased; ASCII signs other than letters and digits separate words; other bytes stay.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
@@ -168,14 +169,18 @@ class Scorer:
     """Scores of whole texts; the words' numbers are kept per Python worker."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.old = model, {}, {}
 
     def score(self, text: str) -> float:
         words = words_of(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, new = {}, list(dict.fromkeys(words))
+                self.known, self.old, new = {}, self.known, words
+            seen = [w for w in new if w in self.old]
+            self.known.update(zip(seen, map(self.old.__getitem__, seen)))
+            new = [w for w in new if w not in self.old]
+        if new:
             places, sizes = _flat(new)
             parts = self.model.parts[places].astype(np.float64)
             first = np.cumsum(sizes) - sizes
