@@ -3,11 +3,14 @@
 Each kind has a base grammar whose valid matches are always reported. Wider generators propose further candidates (spelled-out
 addresses, numbers with other separators, phone numbers without a plus), which may overlap each other and base
 matches. Boosted trees score candidates from their format and the text beside them. They learn from the corpus
-itself: base matches that are valid (checksum, range, length) are positives, those that are not are
-negatives, and what validity is computed from is no feature. All features are small whole numbers, so Spark reduces the
-candidates of all documents to counts per feature vector, a table bounded by the features' ranges, and the trees
-are fitted on that. A kind's threshold is the lowest score at which, on documents left out of fitting,
-the wanted precision still holds; the trees then are one SQL expression.
+itself, from all generators' candidates: those that are valid (checksum, range, length) are positives, wider ones if a word
+beside them announces their kind as well; those that are not valid are negatives, and what validity is computed from is no
+feature. All features are small whole numbers, so Spark reduces the candidates of all documents to counts per feature vector, a
+table bounded by the features' ranges, and the trees are fitted on that. A kind's threshold is the lowest score at which, on
+documents left out of fitting, the wanted precision still holds; the trees' own probability counts as ``PRIOR`` further cases, so
+there is a threshold on tables of any size. The trees then are one SQL expression.
+
+Arrays are worked on in blocks, so a text takes time in proportion to its length however many matches it has.
 """
 
 from __future__ import annotations
@@ -37,36 +40,72 @@ CUES = {
     "card": "card|visa|credit|debit|account|pay", "phone": "phone|tel|call|mobile|fax|cell|contact",
 }
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,64}+"
-             r"(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,64}+){1,5}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++"
+             r"(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]++",
     "phone": r"(?<![0-9+(.])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
-#: Bytes of context on each side, wanted precision, candidates that a threshold must rest on, boosting rounds and step.
-CONTEXT, PRECISION, LEAST_CASES, ROUNDS, STEP = 24, 0.95, 50, 40, 0.3
-FEATURES = ["kind", "digits", "groups", "separators", "cue", "before", "after"]
+#: Characters of context before a match, wanted precision, cases that the trees' own probability counts as, boosting rounds and step.
+CONTEXT, PRECISION, PRIOR, ROUNDS, STEP = 24, 0.95, 20, 40, 0.3
+FEATURES = ["kind", "wide", "digits", "groups", "separators", "cue", "before", "after"]
+#: Elements that are walked one by one; longer arrays are walked in blocks of so many.
+BLOCK = 256
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as ``array<struct<start, end, match>>`` in code points.
+def _blocks(values: Column) -> Column:
+    """``values``, a plain column (it is read once for each block), in arrays of at most ``BLOCK``."""
+    last = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
 
-    The text between matches gives where each begins; texts without a match cost one scan.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
 
-    def step(state, pair):
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("found"))
+def _walked(values: Column, begin: Column, combine) -> Column:
+    """For each of ``values`` what ``combine`` makes of ``begin`` and all values before it. For short arrays."""
+    state = F.struct(begin.alias("now"), F.array().cast("array<int>").alias("seen"))
+    return F.aggregate(values, state, lambda s, v: F.struct(
+        combine(s["now"], v).alias("now"), F.concat(s["seen"], F.array(s["now"])).alias("seen")))["seen"]
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
 
-    # The last gap has no match after it.
-    walked = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), empty, step)["found"]
-    return F.when(F.size(matches) > 0, walked).otherwise(empty["found"])
+_SPANS = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
+
+
+def with_spans(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``texts`` (with ``text``) and, for each name in ``patterns``, the pattern's leftmost non-overlapping matches.
+
+    They are ``array<struct<start, end, match, left, right>>`` in code points. The text between matches gives where each
+    begins, and the ``CONTEXT`` characters before and the one behind it: context ends at the next match of the pattern. Texts
+    without a match cost one scan. One projection follows another where a value is used more than once.
+    """
+    def step(df: DataFrame, make) -> DataFrame:
+        return df.select(*[c for c in df.columns if c not in drop], *[make(name).alias(f"{kind}_{name}") for name in patterns])
+
+    drop: set[str] = set()
+    col = lambda kind, name: F.col(f"{kind}_{name}")
+    kind = "m"
+    df = step(texts, lambda n: F.regexp_extract_all("text", F.lit(patterns[n]), F.lit(0)))
+    kind = "g"
+    df = step(df, lambda n: F.when(F.size(col("m", n)) > 0, F.split("text", patterns[n], -1)))
+    kind, drop = "p", {f"{k}_{n}" for k in "mg" for n in patterns}  # done with once these are made
+    df = step(df, lambda n: F.zip_with(
+        F.zip_with(F.slice(col("g", n), 1, F.size(col("m", n))), F.slice(col("g", n), 2, F.size(col("m", n))), lambda gap, behind: F.struct(
+            F.length(gap).alias("gap"), F.substring(gap, -CONTEXT, CONTEXT).alias("left"), F.substring(behind, 1, 1).alias("right"))),
+        col("m", n), lambda around, match: F.struct(around.alias("around"), match.alias("match"), F.length(match).alias("size"))))
+    kind, drop = "l", set()
+    df = step(df, lambda n: F.transform(col("p", n), lambda x: x["around"]["gap"] + x["size"]))
+    kind = "b"
+    df = step(df, lambda n: _blocks(col("l", n)))
+    kind = "t"
+    df = step(df, lambda n: _walked(F.transform(col("b", n), lambda block: F.aggregate(block, F.lit(0), _add)), F.lit(0), _add))
+    kind, drop = "s", {f"{k}_{n}" for k in "plbt" for n in patterns}
+    df = step(df, lambda n: F.coalesce(F.zip_with(
+        col("p", n), F.flatten(F.zip_with(col("b", n), col("t", n), lambda block, at: _walked(block, at, _add))), lambda x, at: F.struct(
+            (at + x["around"]["gap"]).alias("start"), (at + x["around"]["gap"] + x["size"]).alias("end"), x["match"].alias("match"),
+            x["around"]["left"].alias("left"), x["around"]["right"].alias("right"))), F.array().cast(_SPANS)))
+    return df.withColumnsRenamed({f"s_{n}": n for n in patterns})
 
 
 def _luhn(digits: Column) -> Column:
@@ -90,11 +129,14 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _features(kind: str, text: Column, span: Column) -> Column:
+def valid_wide(kind: str, match: Column) -> Column:
+    """Validity of wider candidates: their form is enough, but for cards."""
+    return valid(kind, match) if kind == "card" else F.lit(True)
+
+
+def _features(kind: str, span: Column, wide: bool) -> Column:
     """A candidate's format and surroundings, in small whole numbers. Nothing here tells validity."""
     match = span["match"]
-    left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    right = F.substring(text, span["end"] + 1, F.lit(1))
     others = F.regexp_replace(match, "[A-Za-z0-9]++", "")
 
     def side(character: Column) -> Column:
@@ -102,12 +144,16 @@ def _features(kind: str, text: Column, span: Column) -> Column:
             character.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
 
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
+        F.lit(KINDS.index(kind)).alias("kind"), F.lit(int(wide)).alias("wide"),
         F.least(F.floor(F.length(F.regexp_replace(match, "[^0-9]", "")) / 4), F.lit(5)).cast("int").alias("digits"),
         F.least(F.size(F.split(match, "[^A-Za-z0-9]+")), F.lit(6)).alias("groups"),
         F.when(others == "", 0).when(others.rlike(r"\A(.)\1*+\z"), 1).otherwise(2).alias("separators"),
-        F.lower(left).rlike(CUES[kind]).cast("int").alias("cue"),
-        side(F.substring(left, -1, 1)).alias("before"), side(right).alias("after"))
+        _cue(kind, span).cast("int").alias("cue"),
+        side(F.substring(span["left"], -1, 1)).alias("before"), side(span["right"]).alias("after"))
+
+
+def _cue(kind: str, span: Column) -> Column:
+    return F.lower(span["left"]).rlike(CUES[kind])
 
 
 class Node(NamedTuple):
@@ -170,23 +216,23 @@ def score(trees: list, case: tuple, step: float = STEP) -> float:
     return step * sum(_value(tree, case) for tree in trees)
 
 
-def threshold(scored: list[tuple[float, int, int]], precision: float = PRECISION, least: int = LEAST_CASES) -> float:
-    """The lowest score from which on the held-out share of positives is ``precision``; infinite if there is none.
+def threshold(scored: list[tuple[float, int, int]], precision: float = PRECISION, prior: float = PRIOR) -> float:
+    """The lowest score from which on the share of positives, among ``scored`` held-out cases, is ``precision``.
 
-    The lower end of the 95 % interval has to reach it, on at least ``least`` cases.
+    To these come ``prior`` cases that are positive as often as the trees say at that score. So without any cases their word
+    counts, and the more cases there are, the less it does.
     """
-    good = bad = 0
-    found = math.inf
     by_score: dict[float, list[int]] = defaultdict(lambda: [0, 0])
     for value, positives, negatives in scored:
         by_score[value][0] += positives
         by_score[value][1] += negatives
-    for value in sorted(by_score, reverse=True):
+    own = math.log(precision / (1 - precision))
+    levels = sorted({*by_score, own, max(own, math.nextafter(max(by_score, default=own), math.inf))}, reverse=True)
+    good = bad = 0
+    found = max(levels[0], own)  # above all cases, where the trees are sure enough
+    for value in levels:
         good, bad = good + by_score[value][0], bad + by_score[value][1]
-        n = good + bad
-        share, z = good / max(n, 1), 1.96
-        low = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n) if n else 0
-        if n >= least and low >= precision:
+        if (good + prior / (1 + math.exp(-value))) / (good + bad + prior) >= precision - 1e-9:
             found = value
     return found
 
@@ -204,31 +250,46 @@ def _expression(trees: list, features: Column, step: float = STEP) -> Column:
     return parts[0] * step
 
 
-def _with_base(texts: DataFrame) -> DataFrame:
-    """``raw_<kind>``: all base matches of the kind, ``base_<kind>``: the valid ones; further columns stay."""
-    texts = texts.select("*", *[spans_of(F.col("text"), BASE[k]).alias(f"raw_{k}") for k in KINDS])
-    return texts.select("*", *[F.filter(f"raw_{k}", _is_valid(k)).alias(f"base_{k}") for k in KINDS])
-
-
 def _is_valid(kind: str):
     return lambda span: valid(kind, span["match"])
 
 
-def _case(kind: str):
-    return lambda span: F.struct(
-        _features(kind, F.col("text"), span).alias("features"), valid(kind, span["match"]).alias("good"))
+def _base_case(kind: str):
+    return lambda span: F.struct(_features(kind, span, False).alias("features"), valid(kind, span["match"]).alias("good"))
 
 
-def _reaches(kind: str, trees: list, level: float):
-    return lambda span: (_expression(trees, _features(kind, F.col("text"), span)) >= level) & ~F.exists(
+def _is_case(kind: str):
+    return lambda span: _cue(kind, span) | ~valid_wide(kind, span["match"])
+
+
+def _wide_case(kind: str):
+    return lambda span: F.struct(_features(kind, span, True).alias("features"), valid_wide(kind, span["match"]).alias("good"))
+
+
+def _beside_base(kind: str):
+    return lambda span: valid_wide(kind, span["match"]) & ~F.exists(
         "base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
 
+def _with_features(kind: str):
+    return lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"), _features(kind, span, True).alias("features"))
+
+
+def _reaches(trees: list, level: float):
+    return lambda candidate: _expression(trees, candidate["features"]) >= level
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, dict[str, float]]:
-    """Trees and each kind's threshold, from all base candidates of ``docs``."""
-    texts = _with_base(id_and_text(docs, id_col, text_col))
-    cases = F.concat(*[F.transform(F.col(f"raw_{k}"), _case(k)) for k in KINDS])
-    counted = texts.select((F.crc32("text") % 5).alias("fold"), F.explode(cases).alias("case")).groupBy(
+    """Trees and each kind's threshold, from all candidates of ``docs``.
+
+    A wider candidate that is valid but that nothing announces is neither positive nor negative and is not learnt from.
+    """
+    # The fold is made here, before cases become rows, each of which would else read the whole text for it.
+    texts = with_spans(id_and_text(docs, id_col, text_col).select("text", (F.crc32("text") % 5).alias("fold")), {
+        **{f"raw_{k}": BASE[k] for k in KINDS}, **{f"wide_{k}": WIDER[k] for k in KINDS}})
+    wide = [F.transform(F.filter(f"wide_{k}", _is_case(k)), _wide_case(k)) for k in KINDS]
+    cases = F.concat(*[F.transform(F.col(f"raw_{k}"), _base_case(k)) for k in KINDS], *wide)
+    counted = texts.select("fold", F.explode(cases).alias("case")).groupBy(
         "fold", "case.features").agg(F.sum(F.col("case.good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
     # At most 5 folds times the product of the features' ranges.
     counts = [(r["fold"], tuple(r["features"]), r["good"], r["n"] - r["good"]) for r in counted.collect()]
@@ -269,27 +330,43 @@ def _found(texts: DataFrame, model: tuple[list, dict[str, float]]) -> DataFrame:
     """``texts`` (with ``text``) and ``n_<kind>``, ``base`` and ``found`` spans."""
     trees, levels = model
     kept = texts.columns
-    base = F.concat(*[_named(F.col(f"base_{k}"), k) for k in KINDS])
-    texts = _with_base(texts).select(*kept, base.alias("base"), *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
-    kinds = [k for k in KINDS if levels[k] < math.inf]
-    everything = F.concat("base", *[_named(F.filter(spans_of(F.col("text"), WIDER[k]), _reaches(k, trees, levels[k])), k)
-                                    for k in kinds])
-    return texts.select(*kept, *[f"n_{k}" for k in KINDS], "base", F.array_sort(everything).alias("found"))
-
-
-def redact(text: Column, found: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(state, span):
-        name = F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), span["kind"] + 1)), F.lit("]"))
-        fresh = span["start"] >= state["at"]
-        between = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(span["end"], state["at"]).alias("at"), F.concat(
-            state["done"], F.when(fresh, F.concat(between, name)).otherwise(F.lit(""))).alias("done"))
-
-    walked = F.aggregate(F.array_sort(found), start, step)
-    return F.when(F.size(found) > 0, F.concat(walked["done"], F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
+    kinds = [k for k in KINDS if levels[k] < math.inf]  # a caller may rule a kind out
+    texts = with_spans(texts, {**{f"raw_{k}": BASE[k] for k in KINDS}, **{f"wide_{k}": WIDER[k] for k in kinds}})
+    wide = [f"wide_{k}" for k in kinds]
+    texts = texts.select(*kept, *wide, *[F.filter(f"raw_{k}", _is_valid(k)).alias(f"base_{k}") for k in KINDS])
+    texts = texts.select(*kept, *wide, F.concat(*[_named(F.col(f"base_{k}"), k) for k in KINDS]).alias("base"),
+                         *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
+    counts = [f"n_{k}" for k in KINDS]
+    texts = texts.select(*kept, *counts, "base", *[
+        F.transform(F.filter(f"wide_{k}", _beside_base(k)), _with_features(k)).alias(f"wide_{k}") for k in kinds])
+    more = [_named(F.filter(f"wide_{k}", _reaches(trees, levels[k])), k) for k in kinds]
+    return texts.select(*kept, *counts, "base", F.array_sort(F.concat("base", *more)).alias("found"))
+
+
+def redact(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text`` and sorted ``found`` spans) with each span of the text replaced by its kind in brackets.
+
+    Overlapping spans become one, named by the first. Spans are taken in blocks, each with its own stretch of the text.
+    """
+    kept = [c for c in rows.columns if c not in ("text", "found")]
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    rows = rows.select(*kept, "text", F.when(F.size("found") > 0, _blocks(F.col("found"))).alias("blocks"))
+    rows = rows.select("*", F.transform("blocks", lambda block: F.array_max(F.transform(block, lambda s: s["end"]))).alias("lasts"))
+    rows = rows.select("*", _walked(F.col("lasts"), F.lit(0), F.greatest).alias("begins"))
+    rows = rows.select(*kept, "text", F.array_max("lasts").alias("last"), F.zip_with(
+        F.zip_with("blocks", "begins", lambda block, at: F.struct(block.alias("block"), at.alias("at"))), "lasts", lambda b, last: F.struct(
+            b["block"].alias("block"), b["at"].alias("at"), F.substring(F.col("text"), b["at"] + 1, last - b["at"]).alias("own"))).alias("parts"))
+
+    def replaced(part: Column) -> Column:
+        state = F.struct(part["at"].alias("at"), F.lit("").alias("done"))
+        return F.aggregate(part["block"], state, lambda s, span: F.struct(
+            F.greatest(span["end"], s["at"]).alias("at"),
+            F.concat(s["done"], F.when(span["start"] >= s["at"], F.concat(
+                F.substring(part["own"], s["at"] - part["at"] + 1, span["start"] - s["at"]), F.element_at(names, span["kind"] + 1)
+            )).otherwise(F.lit(""))).alias("done")))["done"]
+
+    return rows.select(*kept, F.when(F.col("last").isNull(), F.col("text")).otherwise(F.concat(
+        F.array_join(F.transform("parts", replaced), ""), F.substring("text", F.col("last") + 1, F.length("text")))).alias("text"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +382,7 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"),
                        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    done = _found(rows, learn(docs, id_col, text_col)).select("row", redact(F.col("text"), F.col("found")).alias("text"))
+    done = redact(_found(rows, learn(docs, id_col, text_col)).select("row", "text", "found"))
     new = {text_col: F.when(F.col("row")[text_col].isNotNull(), F.col("text"))}
     if length_col in docs.columns:
         new[length_col] = F.when(F.col("row")[text_col].isNotNull(), F.length("text").cast(

@@ -43,22 +43,85 @@ def test_base_spans(odd_docs, docs_of):
     assert pii.personal_data(docs_of([])).collect() == []
 
 
-def test_trees_learn_formats_and_add_wider_spans(docs_of):
-    good = [(i, f"call my phone +1 212 555 {1000 + i} now, mail bob{i}@site.org") for i in range(600)]
-    rows = good + [(9000, "my phone 212 555 0123 please call"), (9001, "mail to ann(at)site.org"), (9002, "no data 212 here")]
+WIDE_TEXTS = ["mail to ann(at)site.org", "write to bob [at] site [dot] co [dot] uk now", "my phone 212 555 0123 please call",
+              "the host is 2001:db8:0:0:0:ff00:42:8329 today", "my card 4111.1111.1111.1111 is", "visa 4111_1111_1111_1112 no",
+              "numbers 555 123 4567 alone", "x" * 70 + "(at)" + "y" * 80 + ".a.b.c.d.e.f.g", "no data 212 here", "",
+              "mail a(at)b.c d(at)e.f, phone (212) 555-0199 or 212.555.0198x"]
+
+
+def wide_brute(text, trees, levels):
+    """Added spans by plain loops over the same patterns, features and trees."""
+    base = [(m.start(), m.end()) for k in PLAIN for m in re.finditer(PLAIN[k], text) if valid(k, m[0])]
+    added = []
+    side = lambda c: 0 if c == "" else 1 if c.isspace() else 2 if c.isalnum() else 3
+    for i, kind in enumerate(pii.KINDS):
+        at = 0
+        matches = list(re.finditer(pii.WIDER[kind], text))
+        for n, m in enumerate(matches):
+            left = text[at:m.start()][-24:]
+            behind = text[m.end():matches[n + 1].start() if n + 1 < len(matches) else len(text)][:1]
+            at = m.end()
+            others = re.sub("[A-Za-z0-9]+", "", m[0])
+            case = (i, 1, min(len(re.sub("[^0-9]", "", m[0])) // 4, 5), min(len(re.split("[^A-Za-z0-9]+", m[0])), 6),
+                    0 if not others else 1 if len(set(others)) == 1 else 2, int(bool(re.search(pii.CUES[kind], left.lower()))),
+                    side(left[-1:]), side(behind))
+            good = kind != "card" or valid("card", m[0])
+            if good and pii.score(trees, case) >= levels[kind] and not any(s < m.end() and m.start() < e for s, e in base):
+                added.append((m.start(), i, m.end()))
+    return added
+
+
+def test_added_spans_by_brute_force(docs_of):
+    rows = [(i, f"call my phone +1 212 555 {1000 + i} now, mail bob{i}@site.org at 10.0.0.{i % 300}, card 4111 1111 1111 1111")
+            for i in range(200)]
+    rows += [(500 + i, f"order {i}: my card 4111.1111.1111.1111 is") for i in range(60)]
+    rows += [(1000 + i, t) for i, t in enumerate(WIDE_TEXTS * 3)]
     trees, levels = pii.learn(docs_of(rows))
-    assert levels["email"] < math.inf and levels["phone"] < math.inf
-    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs_of(rows[-3:]), (trees, levels)).collect()}
-    assert found[9001] == "email:8:23" and found[9002] == ""
-
-
-def test_threshold_needs_precision_and_cases():
-    assert pii.threshold([(1.0, 200, 0), (0.5, 0, 200)]) == 1.0
-    assert pii.threshold([(1.0, 10, 0)]) == math.inf and pii.threshold([]) == math.inf
+    assert all(level < math.inf for level in levels.values())
+    kinds = set()
+    for r in pii.find_pii(docs_of(rows), (trees, levels)).collect():
+        text = dict(rows)[r["doc_id"]]
+        added = wide_brute(text, trees, levels)
+        kinds |= {k for _, k, _ in added}
+        base = [(m.start(), i, m.end()) for i, k in enumerate(PLAIN) for m in re.finditer(PLAIN[k], text) if valid(k, m[0])]
+        assert r["spans"] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + added))
+    assert kinds == {0, 1, 2, 3}  # each kind adds wider spans
+
+
+def test_small_tables_have_thresholds(docs_of):
+    rows = [(i, t) for i, t in enumerate(WIDE_TEXTS)] + [(50, "mail a@b.org"), (51, "phone +1 212 555 1000")]
+    _, levels = pii.learn(docs_of(rows))
+    assert all(level < math.inf for level in levels.values())
+    _, levels = pii.learn(docs_of([]))
+    assert all(math.isclose(level, math.log(19)) for level in levels.values())
+
+
+def test_threshold_weighs_cases_against_the_trees():
+    own = math.log(19)
+    assert math.isclose(pii.threshold([]), own)  # the trees alone
+    assert pii.threshold([(1.0, 2000, 0), (0.5, 0, 2000)]) == 1.0  # many good cases lower it
+    assert pii.threshold([(3.5, 20, 20)]) > 3.5  # bad ones raise it above themselves
+    assert math.isclose(pii.threshold([(0.5, 1, 1)]), own)  # few cases change little
+
+
+def test_many_matches_take_linear_time(docs_of, spark):
+    import time
+
+    text = "".join(f"10.0.{i % 256}.{i // 256 % 256} a{i}@b.co é " for i in range(50_000))
+    docs = docs_of([(1, text)])
+    start = time.time()
+    row = pii.find_pii(docs, ([], dict.fromkeys(pii.KINDS, math.inf))).first()
+    found = row["found"]
+    assert (row["n_email"], row["n_ip"], len(found)) == (50_000, 50_000, 100_000)
+    assert all(text[s["start"]:s["end"]] == (f"10.0.{i // 2 % 256}.{i // 512 % 256}" if i % 2 == 0 else f"a{i // 2}@b.co")
+               for i, s in enumerate(found))
+    redacted = pii.redact_documents(docs).first()["text"]
+    assert redacted == "[IP] [EMAIL] é " * 50_000
+    assert time.time() - start < 60
 
 
 def test_boosting_separates():
-    counts = [((0, a, b, 0, 0, 0, 0), 90 if a > b else 5, 5 if a > b else 90) for a in range(4) for b in range(4)]
+    counts = [((0, 0, a, b, 0, 0, 0, 0), 90 if a > b else 5, 5 if a > b else 90) for a in range(4) for b in range(4)]
     trees = pii.boost(counts)
     assert all((pii.score(trees, case) > 0) == (p > n) for case, p, n in counts)
 
@@ -72,6 +135,6 @@ def test_redaction(odd_docs, docs_of):
 
 
 def test_overlapping_spans_become_one(spark):
-    row = spark.sql("SELECT 'abcdefghij' AS t, array(named_struct('start', 2, 'kind', 0, 'end', 5), "
-                    "named_struct('start', 4, 'kind', 1, 'end', 7)) AS f")
-    assert row.select(pii.redact(F.col("t"), F.col("f"))).first()[0] == "ab[EMAIL]hij"
+    row = spark.sql("SELECT 'abcdefghij' AS text, array(named_struct('start', 2, 'kind', 0, 'end', 5), "
+                    "named_struct('start', 4, 'kind', 1, 'end', 7)) AS found")
+    assert pii.redact(row).first()[0] == "ab[EMAIL]hij"
