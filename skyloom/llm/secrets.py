@@ -11,6 +11,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,18 +43,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, surroundings) of long strings of letters and digits after a sensitive word, outside base spans."""
+    """(start, end, surroundings) of long strings of letters and digits after a sensitive word, outside base spans.
+
+    The word counts if it begins at most ``NEAR`` characters before the string.
+    """
     near = [m.start() for m in SENSITIVE.finditer(text)]
     if not near:
         return []
     found = []
-    reach = [(s, e) for s, _, e in base]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
         at = bisect_left(near, m.start() - NEAR)
         if at == len(near) or near[at] >= m.start() or not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
             continue
-        i = bisect_left(reach, (m.end(), 0))
-        if any(e > m.start() for _, e in reach[max(0, i - 8):i]):
+        i = bisect_left(starts, m.end())
+        if i and ends[i - 1] > m.start():  # of the spans that begin before its end, one ends after its start
             continue
         found.append((m.start(), m.end(), text[max(0, m.start() - AROUND):m.start()] + "\n" + text[m.end():m.end() + AROUND]))
     return found

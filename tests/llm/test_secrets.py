@@ -54,3 +54,42 @@ def test_long_keys_are_measured_whole(docs_of):
 
 def test_an_empty_table(docs_of):
     assert secrets.find_secrets(docs_of([])).collect() == []
+
+
+def test_candidates_lie_outside_all_base_spans():
+    # One long base span with nine others inside it, and a string at its end.
+    text = "secret=" + ".".join(["0123456789abcdef0123456789abcdef"] * 9) + ".Zq9Zq9Zq9Zq9Zq9Zq9"
+    base = secrets.base_spans(text)
+    assert len(base) == 10 and secrets.candidates(text, base) == []
+    random.seed(2)
+    for _ in range(300):
+        text = "".join(random.choice(["secret=", "token ", "abcdef12", "0" * 32, "Zq9", ".", " ", "AKIA" + "B" * 16]) for _ in range(30))
+        base = secrets.base_spans(text)
+        found = secrets.candidates(text, base)
+        assert not any(s < end and start < e for start, end, _ in found for s, _, e in base)
+        free = [m for m in secrets.CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        near = [m.start() for m in secrets.SENSITIVE.finditer(text)]
+        assert [f[0] for f in found] == [m.start() for m in free if any(0 < m.start() - n <= secrets.NEAR for n in near)
+                                         and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+
+
+def test_novelty_by_the_plain_measure(docs_of):
+    """Each candidate's new bytes, measured anew with the dictionary that the query makes."""
+    import zstandard
+
+    key = "".join(random.Random(3).choices("ABCDEFGHJKLMNPQRSTabcdefghijkmnpqrst23456789", k=40))
+    rows = [(1, f"Authorization: Bearer {key} end"), (2, "bearer_of_news1 bearer_of_news1 token bearer_of_news1xx"), (3, "no key"), (4, None)]
+    docs = docs_of(rows)
+    primer = secrets.identifier_dictionary(secrets.scan(docs))
+    compressor = zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
+        primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    for r in secrets.find_secrets(docs).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        novel = []
+        for start, end, around in secrets.candidates(text, secrets.base_spans(text)):
+            size = lambda s: len(compressor.compress(s.encode()))
+            new = size(around + text[start:end]) - size(around)
+            if new >= secrets.NEW_BYTES and new >= secrets.NEW_SHARE * (end - start):
+                novel.append(f"novel:{start}:{end}")
+        assert r["n_novel"] == len(novel) and set(novel) == {s for s in r["spans"].split(",") if s.startswith("novel")}
+        assert r["doc_id"] != 1 or novel == [f"novel:22:{22 + len(key)}"]
