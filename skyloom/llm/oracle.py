@@ -30,12 +30,12 @@ def _decoded(text: str) -> str:
 
 
 _STRIPPED = _replaced(
-    "payload", ("'(?s)<!--.*?-->'", "''"), ("'(?is)<script\\b.*?</script\\s*>'", "''"),
-    ("'(?is)<style\\b.*?</style\\s*>'", "''"), ("'(?is)<head\\b.*?</head\\s*>'", "''"), ("'[\\r\\n\\t ]+'", "' '"),
-    ("'(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\\b[^>]*>'", "chr(10)"),
-    ("'<[^>]*>'", "''"))
+    "payload", ("'(?s)<!--.*?(?:-->|\\z)'", "''"), ("'(?is)<script\\b.*?(?:</script\\s*>|\\z)'", "''"),
+    ("'(?is)<style\\b.*?(?:</style\\s*>|\\z)'", "''"), ("'(?is)<head\\b.*?(?:</head\\s*>|\\z)'", "''"), ("'[\\r\\n\\t ]+'", "' '"),
+    ("'(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\\b[^<>]*>'", "chr(10)"),
+    ("'<[^<>]*>'", "''"))
 _TEXT = _replaced(_decoded(_STRIPPED), ("'[ ]*\\n[ \\n]*'", "chr(10)"), ("'^[ \\n]+|[ \\n]+$'", "''"))
-_TITLE = f"trim({_replaced(_decoded("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)"), ("'[\\r\\n\\t ]+'", "' '"))})"
+_TITLE = f"trim({_replaced(_decoded("regexp_extract(payload, '(?is)<title[^<>]*>(.*?)(?:</title|\\z)', 1)"), ("'[\\r\\n\\t ]+'", "' '"))})"
 
 SQL["op10_warc_derivatives"] = f"""
 WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, chr(13) || chr(10) AS eol FROM pages),
@@ -46,8 +46,8 @@ m AS (SELECT page_id, 'metadata' AS record_type, record_id AS refers_to, target_
              'source-content-type: application/http; msgtype=response' || eol || 'source-content-length: ' || strlen(block)
              || eol || 'source-block-digest: sha256:' || sha256(block) || eol || 'source-payload-digest: sha256:'
              || sha256(payload) || eol || 'title: ' || {_TITLE} || eol
-             || 'language: ' || regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1) || eol
-             || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1)) || eol AS block FROM r
+             || 'language: ' || regexp_extract(payload, '(?i)<html[^<>]*\\blang="([^"]*)"', 1) || eol
+             || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\b[^<>]*\\bhref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)) || eol AS block FROM r
       UNION ALL
       SELECT page_id, 'conversion', record_id, target_uri, 'text/plain; charset=utf-8', {_TEXT} FROM r)
 SELECT page_id, 'response' AS record_type, record_id, NULL::VARCHAR AS refers_to, target_uri, '1970-01-01T00:00:00Z' AS date,

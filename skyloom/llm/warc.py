@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Patterns for the parts of a page, and the entities that are decoded, the ampersand last.
-HIDDEN = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>"]
-BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\b[^>]*>"
-TAG = r"<[^>]*>"
+# Patterns for the parts of a page, and the entities that are decoded, the ampersand last. What is opened and never
+# closed reaches to the page's end, and a tag ends before the next one at the latest, so no pattern looks at a stretch twice.
+HIDDEN = [r"(?s)<!--.*?(?:-->|\z)", *[rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "head")]]
+BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body)\b[^<>]*>"
+TAG = r"<[^<>]*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: A link: its address in double quotes, in single ones or without any.
-LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = r"""(?i)<a\b[^<>]*\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 SOURCE_TYPE = "application/http; msgtype=response"
 #: The date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -33,7 +34,11 @@ def decoded(text: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The visible text: one line per block element, blanks collapsed, entities decoded, empty lines left out."""
+    """The visible text: one line per block element, blanks collapsed, entities decoded, empty lines left out.
+
+    A page of any length, also of unclosed comments or tags, takes time in proportion to it. An attribute value with ``<`` or ``>``
+    ends its tag there, and of entities only ``ENTITIES`` are decoded.
+    """
     for pattern in HIDDEN:
         html = F.regexp_replace(html, pattern, "")
     text = F.regexp_replace(F.regexp_replace(html, r"[\r\n\t ]+", " "), BREAKS, "\n")
@@ -88,8 +93,8 @@ def derivatives(source: DataFrame) -> DataFrame:
         field("source-content-type", F.col("content_type")),
         field("source-content-length", F.octet_length("block").cast("string")),
         field("source-block-digest", F.col("block_digest")), field("source-payload-digest", F.col("payload_digest")),
-        field("title", one_line(_first(html, r"(?is)<title[^>]*>(.*?)</title"))),
-        field("language", _first(html, r'(?i)<html[^>]*\blang="([^"]*)"')),
+        field("title", one_line(_first(html, r"(?is)<title[^<>]*>(.*?)(?:</title|\z)"))),
+        field("language", _first(html, r'(?i)<html[^<>]*\blang="([^"]*)"')),
         field("outlinks", F.size(F.regexp_extract_all(html, F.lit(LINK), F.lit(0))).cast("string")))
     kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"),
                              metadata.alias("block")),
