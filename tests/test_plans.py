@@ -117,3 +117,18 @@ def test_generated_methods_stay_compilable(spark):
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", "true")
         assert sizes and max(sizes) < 8000, sizes
+
+
+def test_the_feeds_generated_methods_stay_compilable(spark):
+    """Also in a session that keeps long methods fused, as Spark does unless told otherwise."""
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        executed = T.feed(spark, SF).repartition(8, "airport_iata")._jdf.queryExecution().executedPlan()
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(executed)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+    assert sizes and max(sizes) < 8000, sizes

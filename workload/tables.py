@@ -167,7 +167,8 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "airline": F.expr("named_struct('name', 'Airline ' || c % 30, 'iata', 'A' || c % 20, 'icao', 'AL' || c % 20)"),
     })
 
-    # Legs and their two listings are columns of their own, which keeps each generated method small.
+    # Legs and their two listings are columns of their own. The lists are cut with a function of a function, whose projection Spark
+    # compiles to many small methods; fused into one, it would pass the 8000 bytes up to which the JVM compiles a method.
     legs = told.withColumns({
         f"{side}_{i}": F.expr(f"named_struct('airport', {side}, 'scheduledTime', named_struct('utc', sched_text), "
                               f"'revisedTime', named_struct('utc', actual_text_{i}))")
@@ -190,7 +191,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"'arrival', {arrival}_{i}, 'movement', movement_{i}, 'aircraft', aircraft_{i}, 'airline', airline)"
             for i in [1, 2]
         )
-        return F.expr(f"slice(array({flights}), 1, int({count}))")
+        return F.expr(f"CASE WHEN {count} IS NOT NULL THEN filter(array({flights}), (flight, i) -> i < {count}) END")
 
     return legs.select(
         F.expr(f"element_at(array({', '.join(FEED_IATA.format(a) for a in range(40))}), int(a + 1))").alias("airport_iata"),
