@@ -26,6 +26,7 @@ def archive_feed(feed: DataFrame, path: str, syncs_per_folder: int = 1) -> None:
     leave folders out, and folders of different lengths may stand side by side. Archiving a run of syncs of an airport
     again replaces its folder and leaves the others alone: take runs of more than one sync only where a run is always
     archived as a whole. Rows are rebalanced first, so that files have a useful size; a busy airport is split over several tasks.
+    Files are compressed, which makes each of them one task of a reader.
     """
     first = F.col("ingest_seq") - F.pmod("ingest_seq", F.lit(syncs_per_folder))
     (
@@ -33,6 +34,7 @@ def archive_feed(feed: DataFrame, path: str, syncs_per_folder: int = 1) -> None:
         .hint("rebalance", "airport_iata", "sync_from")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "gzip")
         .partitionBy("airport_iata", "sync_from", "sync_to")
         .json(path)
     )

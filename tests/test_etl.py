@@ -298,3 +298,14 @@ def test_null_country_counts_as_present(spark):
     docs = spark.createDataFrame([(json % '{"lat":1,"lon":2}',), (json % "null",)], "j string").selectExpr(
         "1L AS ingest_seq", "'a' AS doc_id", "parse_json(j) AS doc")
     assert sorted(",".join(r.missing) for r in build_airport(docs).collect()) == ["", "latitude,longitude"]
+
+
+def test_archives_are_compressed(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    listed = [({"number": f"A{i}", "status": "Arrived"},) for i in range(3)]
+    feed = spark.createDataFrame([("LHR", i, f"d{i}", list(x), []) for i, x in enumerate(listed)], feeds._ARCHIVED.simpleString().replace(
+        "struct<", "airport_iata: string, ", 1)[:-1].replace(":", ": "))
+    feeds.archive_feed(feed, path, syncs_per_folder=32)
+    files = [f for f in (tmp_path / "archive").rglob("part-*")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert tuples(feeds.read_flight_feed(spark, path).orderBy("doc_id")) == tuples(feed.orderBy("doc_id"))
