@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from skyloom.operators.airports import upsert_airports
 from skyloom.operators.dedupe import first_per_key
 from skyloom.schemas import AIRCRAFT, AIRPORT, AIRPORT_DELAYS, FLIGHTS, ORDER_COLUMNS, SYNC_KEYS, TABLES, conform
+from skyloom.session import no_rows
 from skyloom.sources import ledger, versions
 
 #: Columns of the tables that are stored by load, beside their own: which sync a row comes from, and the folders.
@@ -63,13 +64,13 @@ def create_tables(spark: SparkSession, root: str, database: str | None = None) -
     at once.
     """
     for table in _FOLDERS:
-        spark.createDataFrame([], _stored_schema(table)).write.mode("ignore").partitionBy(
+        no_rows(spark, _stored_schema(table)).write.mode("ignore").partitionBy(
             *[f.name for f in _FOLDERS[table]]).parquet(f"{root}/{table}")
-    spark.createDataFrame([], ledger.SYNCS).write.mode("ignore").partitionBy("load").parquet(f"{root}/syncs")
+    no_rows(spark, ledger.SYNCS).write.mode("ignore").partitionBy("load").parquet(f"{root}/syncs")
     _bucketed(spark, root)
     if not versions.versions(spark, f"{root}/airport"):
         try:
-            versions.commit(spark.createDataFrame([], AIRPORT), f"{root}/airport", 0)
+            versions.commit(no_rows(spark, AIRPORT), f"{root}/airport", 0)
         except versions.Conflict:  # another session creates the tables too
             pass
     if database:
@@ -213,11 +214,15 @@ def append_flights(
         if "scheduled_departure_utc" in dedupe_keys:
             same.append(departure_date.eqNullSafe(F.col("flight_date")))
         rows = rows.join(seen, same, "left_anti")
-    dated = rows.select(*FLIGHTS.names, *_hidden(rows, table), F.lit(own).alias("load"), departure_date.alias("flight_date"))
-    dated.hint("rebalance", "flight_date").write.mode("append").partitionBy("load", "flight_date").parquet(f"{root}/{table}")
+    _write_flights(rows.select(*FLIGHTS.names, *_hidden(rows, table), departure_date.alias("flight_date")), root, own)
     _done(spark, root, table, own, load, database)
 
 
+def _write_flights(dated: DataFrame, root: str, load: str) -> None:
+    """Write into the folder of ``load``. Its name is no column of the rows, so these are sorted by date alone, a number."""
+    dated.hint("rebalance", "flight_date").write.mode("append").partitionBy("flight_date").parquet(f"{root}/flights/load={load}")
+
+
 def _done(spark: SparkSession, root: str, table: str, own: str, load: str | None, database: str | None) -> None:
     if not load:
         ledger.commit_load(spark, root, own)
@@ -269,8 +274,7 @@ def compact(spark: SparkSession, root: str, small: int = 64 << 20, database: str
     if len(merged) < 2 and not stale:
         return []
     own, some = ledger.new_load(), (merged, gone)
-    _counted(spark, root, "flights", some).withColumn("load", F.lit(own)).hint("rebalance", "flight_date").write.mode(
-        "append").partitionBy("load", "flight_date").parquet(f"{root}/flights")
+    _write_flights(_counted(spark, root, "flights", some).drop("load"), root, own)
     _counted(spark, root, "airport_delays", some).withColumn("load", F.lit(own)).hint("rebalance").write.mode(
         "append").partitionBy("load").parquet(f"{root}/airport_delays")
     ledger.record_syncs(ledger.counted(ledger.syncs(spark, root, merged), merged, gone, "airport_iata"), root, own)

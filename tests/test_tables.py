@@ -235,3 +235,29 @@ def test_the_catalog_follows_loads_without_listing_older_ones(spark, synced, tmp
     assert spark.table(f"{database}.aircraft").count() == 6
     tables.compact(spark, root, database=database)
     assert sorted(r.flight_number for r in spark.table(f"{database}.flights").collect()) == expected
+
+
+def test_a_loads_rows_are_sorted_by_date_alone(spark, tmp_path, monkeypatch):
+    """The load's name is the folder and no column of the rows: a text equal in all rows would be compared at every step of the sort."""
+    from pyspark.sql import DataFrameWriter
+
+    from tests.rows import flights
+
+    root, by = str(tmp_path), []
+    tables.create_tables(spark, root)
+    kept = DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *names: (by.append(names), kept(self, *names))[1])
+    one = flights(spark, {"flight_number": "A1", "scheduled_departure_utc": at("14 08:00")}, {"flight_number": "A2"})
+    for _ in range(2):
+        tables.append_flights(one, root)
+    tables.compact(spark, root)
+    assert by.count(("flight_date",)) == 3
+    assert sorted(r["flight_number"] for r in tables.read_tables(spark, root).flights.collect()) == ["A1", "A1", "A2", "A2"]
+
+
+def test_empty_tables_start_no_python_worker(spark):
+    from skyloom.session import no_rows
+
+    empty = no_rows(spark, AIRPORT)
+    assert empty.schema == AIRPORT and empty.count() == 0
+    assert "ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString()
