@@ -9,7 +9,9 @@ length in Spark and look up their slot, so no piece passes through the driver.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -18,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,11 @@ CAPACITY = 4096
 END_ID = 1
 #: Encoded words that a Python worker keeps in each of two generations, some 200 bytes each.
 CACHED_WORDS = 300_000
+#: Small letters that no normalisation changes, and the ASCII marks after them. Special tokens end in ``>``, which is none of these.
+_PLAIN = re.compile(rb"((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([!-/:;=?@\[-`{-~]*+)").fullmatch
+#: Tokenizers whose first steps do nothing to plain words but to part the letters from the marks.
+_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
@@ -36,6 +44,8 @@ class WordIds:
     For tokenizers that drop white space and never join across it, a text's ids are its words' ids one after
     the other. Distinct words are encoded by the library once and kept, packed as little-endian 32-bit numbers.
     With ``fold`` (tokenizers that lower-case) A-Z are lower-cased first, unless the text could hold a special token.
+    Where the tokenizer parts letters from marks, a plain word's letters and marks are encoded apart, so that words are new
+    less often, and many letters at a time by the library's model without the steps that do nothing to them.
     """
 
     def __init__(self, path: str, fold: bool = True, limit: int = CACHED_WORDS):
@@ -45,26 +55,80 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = self._plain(path)
         # What is looked up moves to the young generation, so frequent words are never lost.
         self.fold, self.limit, self.known, self.old = fold, limit, {}, {}
 
+    def _plain(self, path: str):
+        """The encoder of plain letters; None if the tokenizer does more to them, or no suffix tells where a word ends."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps, cut = [(spec[k] or {}) for k in ("normalizer", "pre_tokenizer")]
+        first, second = [*cut.get("pretokenizers", []), {}, {}][:2]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not (suffix and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+                and all(s["type"] in _NORMALIZERS and s.get("pattern") in (None, {"Regex": r"\s+"}) for s in steps.get("normalizers", [{"type": ""}]))
+                and first.get("pattern") == {"Regex": _LETTERS} and (first["behavior"], first["invert"]) == ("Removed", True)
+                and second.get("type") == "ByteLevel" and not second["add_prefix_space"] and not second["use_regex"]
+                and len(cut["pretokenizers"]) == 2):
+            return None
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        plain = Tokenizer.from_file(path)
+        plain.no_truncation()
+        plain.no_padding()
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode ``words``, none of which is known, and keep them."""
+        known, old, letters, others, parted = self.known, self.old, {}, {}, []
+        for word in words:
+            if word in old:
+                known[word] = old[word]
+            elif not self.plain or not (match := _PLAIN(word)):
+                others[word] = None
+            else:
+                core, marks = match.groups()
+                if marks:
+                    parted.append((word, core, marks))
+                for part, new in ((core, letters), (marks, others)):
+                    if part and part not in known:
+                        if part in old:
+                            known[part] = old[part]
+                        else:
+                            new[part] = None
+        letters, others = [*letters], [*others]
+        for at in range(0, len(letters), 200):
+            some = letters[at:at + 200]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends, packed = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            known.update(zip(some, (packed[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        for at in range(0, len(others), 10_000):
+            some = others[at:at + 10_000]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = np.array(code.ids, "<u4").tobytes()
+        for word, core, marks in parted:
+            known[word] = known[core] + known[marks]
+
     def pack(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            data = text.encode()
-            words = (data.lower() if self.fold and b"<|" not in data else data).split()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if len(self.known) + len(new) > self.limit:
-                self.known, self.old, new = {}, self.known, list(dict.fromkeys(words))
-            if self.old and new:
-                seen = [w for w in new if w in self.old]
-                self.known.update(zip(seen, map(self.old.__getitem__, seen)))
-                new = [w for w in new if w not in self.old]
-            for at in range(0, len(new), 10_000):
-                some = new[at:at + 10_000]
-                for word, code in zip(some, self.tokenizer.encode_batch_fast(
-                        [w.decode() for w in some], add_special_tokens=False)):
-                    self.known[word] = np.array(code.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, words))
+        column = pa.array(texts, pa.large_string())
+        if self.fold:
+            column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        split = pc.ascii_split_whitespace(column)
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known, self.old, new = {}, self.known, distinct
+        self._learn(new)
+        packed, index, ends = [*map(self.known.__getitem__, distinct)], words.indices.to_numpy(), split.offsets.to_pylist()
+        for start, end in zip(ends, ends[1:]):
+            yield b"".join(map(packed.__getitem__, index[start:end].tolist()))
 
 
 _ENCODERS: dict[tuple, WordIds] = {}

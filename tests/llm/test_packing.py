@@ -41,6 +41,36 @@ def test_pieces_are_the_librarys_ids(odd_docs):
     check_places(got, 4096)
 
 
+def test_plain_letters_are_encoded_once_and_many_at_a_time():
+    encoder = packing.WordIds(PATH)
+    whole, model, asked = encoder.tokenizer, encoder.plain, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return model.encode_batch_fast(texts, **options)
+
+    encoder.plain, encoder.tokenizer = Counting(), None
+    texts = ["plain words stöße garçon", "words plain garçon stöße"]
+    assert [*encoder.pack(texts)] == [np.array(whole.encode(t).ids, "<u4").tobytes() for t in texts]
+    encoder.tokenizer = whole
+    texts = ["plain, words; stöße... garçon!?", "(plain) words' plain's"]
+    assert [*encoder.pack(texts)] == [np.array(whole.encode(t).ids, "<u4").tobytes() for t in texts]
+    assert asked == ["plain words stöße garçon"]
+
+
+@pytest.mark.parametrize("limit", [1, 40, 300_000])
+def test_words_of_all_kinds_have_the_librarys_ids(limit):
+    rng, encoder = random.Random(limit), packing.WordIds(PATH, limit=limit)
+    parts = ["plain", "größe", "Été", "ÿ", "×", "÷", "e\u0301", "\u0338", "'s", "'", "’s", "42", "x2", ",", "...", "<", ">", "<|", "|>", "<|endoftext|>",
+             "<|EndOfText|>", "</w>", "_", "$#!", "日本", "😀", "İ", "K", "\x00", "\xa0", "\u2028", "\x85", "\x0b", " ", " ", " ", "\n", "\t\f"]
+    texts = ["", " ", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)), "a" * 3000 + ", b" + "é" * 500 + "."]
+    for at in range(0, len(texts), 50):
+        some = texts[at:at + 50]
+        assert [*encoder.pack(some)] == [
+            np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
 def test_ids_on_request(docs_of):
     rows = packing.token_pieces(docs_of([(1, "one two three four")]), PATH, capacity=3, with_ids=True).collect()
     assert [len(r["ids"]) for r in rows] == [3, 2] and rows[-1]["ids"][-1] == 1
