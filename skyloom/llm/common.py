@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,22 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept in this Python worker until something else is or ``let_go`` is called."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Frees what an operator before has kept in this Python worker: Spark gives a worker on to the stages after."""
+    _KEPT.clear()
+
+
 def portions(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds at most ``most`` bytes of text, or one longer text: what a task holds at a time."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import id_and_text, portions, staged, texts_of
+from skyloom.llm.common import id_and_text, let_go, portions, staged, texts_of
 from skyloom.llm.components import components
 from skyloom.llm.shingles import Shingled, mix, set_digests, shingle
 
@@ -118,11 +118,17 @@ def _bit(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
 
 
+def _lots(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
+    """``portions`` to make shingles of, in a worker that holds nothing else."""
+    let_go()
+    return portions(batches, text_at)
+
+
 def frequencies(keyed: DataFrame, words: int, percent: int) -> Frequencies:
     """Counts over the smallest shingles (see ``counted``) of all documents, reduced to what the lists need."""
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 0):
+        for batch in _lots(batches, 0):
             sets = shingle(texts_of(batch), words)
             values = _head(sets, counted(sets.sizes, percent))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["token"])
@@ -162,7 +168,7 @@ def with_uncounted(keyed: DataFrame, words: int, percent: int, known: Frequencie
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS // 64, np.uint64)
-        for batch in portions(batches, 0):
+        for batch in _lots(batches, 0):
             sets = shingle(texts_of(batch), words)
             order, rank = _order(sets, shared.value)
             lengths = np.minimum(prefix(sets.sizes, percent), sets.sizes)
@@ -190,7 +196,7 @@ def sketches(keyed: DataFrame, words: int, percent: int, boundary: int, known: F
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, several = shared.value.last, shared.value.shared
-        for batch in portions(batches):
+        for batch in _lots(batches):
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
             begin = np.cumsum(sets.sizes) - sets.sizes
@@ -433,7 +439,7 @@ def whole_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``wanted`` (``node``, digests, ``units``) with ``tokens``: all shingles, made anew from the node's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 5):
+        for batch in _lots(batches, 5):
             sets = shingle(texts_of(batch), words)
             d1, d2 = set_digests(sets)
             # One id can have several texts; the node stands for the set with its digests.

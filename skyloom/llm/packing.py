@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, partitions, portions, staged, texts_of
+from skyloom.llm.common import id_and_text, kept, partitions, portions, staged, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,13 +131,8 @@ class WordIds:
             yield b"".join(map(packed.__getitem__, index[start:end].tolist()))
 
 
-_ENCODERS: dict[tuple, WordIds] = {}
-
-
 def _encoder(path: str) -> WordIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    return kept(("packing", path), lambda: WordIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -158,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in portions(batches):
             ids = batch.column(0)
-            rows, pieces, lengths, sums, kept = [], [], [], [], []
+            rows, pieces, lengths, sums, lists = [], [], [], [], []
             for row, packed in enumerate(encoder.pack(texts_of(batch))):
                 packed += end
                 for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
@@ -168,12 +163,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     lengths.append(len(part) // 4)
                     sums.append(zlib.crc32(part))
                     if with_ids:
-                        kept.append(np.frombuffer(part, "<u4").astype(np.int64))
+                        lists.append(np.frombuffer(part, "<u4").astype(np.int64))
             piece = np.array(pieces, np.int64)
             columns = [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(piece * capacity),
                        pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
             if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int64())))
+                columns.append(pa.array(lists, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return source.mapInArrow(cut, T.StructType(fields))

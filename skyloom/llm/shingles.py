@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Bytes handled at once, and the longest word that takes the vectorised way.
-BLOCK, LONG_WORD = 1 << 22, 1 << 12
+BLOCK, LONG_WORD = 1 << 18, 1 << 12
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240501)

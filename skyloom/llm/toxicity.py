@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import id_and_text, portions, texts_of
+from skyloom.llm.common import id_and_text, let_go, portions, texts_of
 
 #: Subword table, n-gram lengths in bytes with word boundary marks, embedding width, words to a window.
 BUCKETS, SHORTEST, LONGEST, WIDTH, WINDOW = 1 << 18, 3, 6, 4, 8
@@ -248,6 +248,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers and a bias
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in portions(batches):
             yield pa.RecordBatch.from_arrays(
@@ -274,6 +275,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in portions(batches, text_at):
             texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
